@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,14 @@ from pyspark.sql import types as T
 from veilscan.functions.matching import find_all, match_lines
 from veilscan.functions.similarity import STRINGS, leaders_exact, leaders_native
 from veilscan.functions.text import heal_ocr_digits, truncate_text
-from veilscan.operators.rules import DEFAULT_RULES, MERGED_CATEGORIES, NORMALISERS, VALIDATORS, Rule
+from veilscan.operators.rules import (
+    DEFAULT_RULES,
+    FOLDING_LETTERS,
+    MERGED_CATEGORIES,
+    NORMALISERS,
+    VALIDATORS,
+    Rule,
+)
 
 MATCH = T.StructType(
     [
@@ -140,6 +149,9 @@ def detect(
     found = []
     for r in rules:
         values, condition = find_all(_source(r), r.pattern), _may_match(r, guards)
+        if r.ascii_pattern is not None:
+            folding = reduce(or_, (F.contains(_source(r), F.lit(c)) for c in FOLDING_LETTERS))
+            values = F.when(folding, values).otherwise(find_all(_source(r), r.ascii_pattern))
         if condition is not None:
             values = F.when(condition, values).otherwise(F.array().cast(STRINGS))
         found.append(values.alias(f"_v_{r.detector}"))
@@ -189,7 +201,7 @@ def merge_near_equal(df: DataFrame, matches: str = "matches", similarity: str =
     if similarity == "exact":
         groups = leaders_exact(F.col("_groups"))
     elif similarity == "native":
-        groups = F.transform("_groups", leaders_native)
+        groups = F.transform("_groups", lambda values: leaders_native(values))
     else:
         raise ValueError(f"unknown similarity: {similarity!r}")
     df = df.select(*others, "_plain", groups.alias("_leaders"))
