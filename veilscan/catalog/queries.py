@@ -390,17 +390,17 @@ _PLACES = f"with base as ({fx.PII_DOCS}), {o.WORD_CTES}, {o.PLACE_CTES}"
 
 @query("detect_full_name", f"{_NAMES} select doc_id, pos, name from candidates")
 def detect_full_name(spark, sf):
-    return names.name_candidates(fx.pii_docs(spark, sf), fx.names(spark))
+    return names.name_candidates(names.name_hits(fx.pii_docs(spark, sf), names=fx.names(spark)))
 
 
 @query("detect_location", f"{_PLACES} select doc_id, pos, place from located")
 def detect_location(spark, sf):
-    return names.locations(fx.pii_docs(spark, sf), fx.places(spark))
+    return names.locations(names.name_hits(fx.pii_docs(spark, sf), places=fx.places(spark)))
 
 
 @query("name_longest", f"{_NAMES} select doc_id, first_word, name, pos from longest")
 def name_longest(spark, sf):
-    return names.name_longest(names.name_candidates(fx.pii_docs(spark, sf), fx.names(spark)))
+    return names.name_longest(names.name_candidates(names.name_hits(fx.pii_docs(spark, sf), names=fx.names(spark))))
 
 
 # --- matches -------------------------------------------------------------------

@@ -1,8 +1,9 @@
 """Full names and places from gazetteers supplied by the caller.
 
-Words of the cleaned text are equi-joined to the gazetteers. A gazetteer is
-broadcast only after a check of its size; a larger one is shuffled with the
-text's words salted, so that a very common word does not land in one task.
+Words (and short phrases) of the cleaned text are equi-joined to the
+gazetteers. A gazetteer is broadcast only after a check of its size; a larger
+one is shuffled, with the text's words salted so that a very common word does
+not land in one task. Names and places share one pass over the text.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from veilscan.functions.matching import find_all
 from veilscan.functions.text import clean_for_names, prefix_for_names
 
 # How a name is accepted.
-MIN_WORDS, MAX_WORDS, MIN_WORD_CHARS = 2, 3, 4
+MAX_WORDS, MIN_WORD_CHARS = 3, 4
 PATRONYMIC = "(?:ович|евич|ьич|овна|евна|ична)$"
 
 TOKEN = r"\p{L}[\p{L}\p{N}-]*|\S"
+MAX_PLACE_WORDS = 3
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
@@ -31,81 +33,137 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
     return n <= rows and total <= size
 
 
-def gazetteer_join(
-    words: DataFrame, gazetteer: DataFrame, on: str, spread: list[str], how: str, small: bool | None = None
-) -> DataFrame:
-    """Join words to a gazetteer by ``on``; ``spread`` are the columns that salt."""
-    if is_small(gazetteer) if small is None else small:
-        return words.join(F.broadcast(gazetteer), on, how)
-    salted = words.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = gazetteer.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+def gazetteer(names: DataFrame | None, places: DataFrame | None) -> DataFrame:
+    """(phrase, normal, place): one row per lower-cased entry of either list.
 
+    ``names`` has ``token`` and may have ``normal``, the form to report.
+    """
+    none = F.lit(None).cast("string")
+    parts = []
+    if names is not None:
+        normal = F.col("normal") if "normal" in names.columns else F.col("token")
+        parts.append(names.select(F.lower("token").alias("phrase"), normal.alias("normal"), none.alias("place")))
+    if places is not None:
+        parts.append(places.select(F.lower("token").alias("phrase"), none.alias("normal"), F.col("token").alias("place")))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return both.groupBy("phrase").agg(F.min("normal").alias("normal"), F.min("place").alias("place"))
 
-def words_of(df: DataFrame, text: str, key: str, phrase: int = 1, max_chars: int | None = None) -> DataFrame:
-    """(key, pos, word, phrase): the words of the cleaned text.
+
+def phrases_of(df: DataFrame, text: str, key: str, longest: int = 1, max_chars: int | None = None) -> DataFrame:
+    """(key, pos, n, word, phrase): every word, and phrases of up to ``longest`` words.
 
     Punctuation takes a position of its own, so it breaks a run of words.
-    ``phrase`` is the word and those after it, lower-cased, up to that many.
     """
     source = F.coalesce(F.col(text), F.lit(""))
     if max_chars is not None:
         source = prefix_for_names(source, max_chars)
     tokens = df.select(key, find_all(clean_for_names(source), TOKEN).alias("_tokens"))
-    if phrase > 1:
-        entry = F.transform(
-            "_tokens",
-            lambda t, i: F.struct(
-                t.alias("word"), F.transform(F.slice("_tokens", i + 1, phrase), F.lower).alias("phrase")
-            ),
+
+    def entry(n: int):
+        return lambda word, i: F.struct(
+            i.alias("pos"),
+            F.lit(n).alias("n"),
+            word.alias("word"),
+            (F.lower(word) if n == 1 else F.lower(F.array_join(F.slice("_tokens", i + 1, n), " "))).alias("phrase"),
         )
-    else:
-        entry = F.transform("_tokens", lambda t: F.struct(t.alias("word")))
-    return (
-        tokens.select(key, F.posexplode_outer(entry).alias("pos", "_w"))
-        .select(key, "pos", "_w.*")
-        .where(F.col("word").rlike(r"^\p{L}"))
-    )
+
+    entries = F.concat(*(F.transform("_tokens", entry(n)) for n in range(1, longest + 1)))
+    rows = tokens.select(key, F.explode_outer(entries).alias("_e")).select(key, "_e.*")
+    return rows.where(F.col("word").rlike(r"^\p{L}"))
 
 
-def name_candidates(
+def name_hits(
     df: DataFrame,
-    names: DataFrame,
+    names: DataFrame | None = None,
+    places: DataFrame | None = None,
     text: str = "text",
     key: str = "doc_id",
     max_chars: int | None = None,
     small: bool | None = None,
 ) -> DataFrame:
-    """(key, pos, name): runs of 2-3 name words, each of 4 characters or more.
+    """(key, pos, name_word, place, n): what the gazetteers know at a position.
 
-    ``names`` has ``token`` and may have ``normal``, the form to report. A word
-    with a patronymic ending counts as a name word too.
+    ``place`` is the longest place that starts there and ``n`` its words. A
+    word with a patronymic ending is a name word without an entry. The rows
+    are partitioned by ``key``, so the steps after this one do not shuffle.
     """
-    normal = F.col("normal") if "normal" in names.columns else F.col("token")
-    table = names.groupBy(F.lower("token").alias("_word")).agg(F.min(normal).alias("_normal"))
-    words = words_of(df, text, key, max_chars=max_chars).withColumn("_word", F.lower("word"))
-    hits = (
-        gazetteer_join(words, table, "_word", [key, "pos"], "left", small)
-        .where(F.col("_normal").isNotNull() | F.col("_word").rlike(PATRONYMIC))
-        .select(key, "pos", F.coalesce("_normal", "word").alias("w"))
+    table = gazetteer(names, places)
+    phrases = phrases_of(df, text, key, 1 if places is None else MAX_PLACE_WORDS, max_chars)
+    patronymic = (F.col("n") == 1) & F.col("phrase").rlike(PATRONYMIC) & F.lit(names is not None)
+    if is_small(table) if small is None else small:
+        found = phrases.join(F.broadcast(table), "phrase", "left").where(
+            F.col("normal").isNotNull() | F.col("place").isNotNull() | patronymic
+        )
+    else:
+        salted = phrases.withColumn("_salt", F.pmod(F.xxhash64(key, "pos"), F.lit(SALTS)).cast("int"))
+        copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = salted.join(copies, ["phrase", "_salt"]).drop("_salt")
+        found = found.unionByName(phrases.where(patronymic), allowMissingColumns=True)
+    hits = found.select(
+        key,
+        "pos",
+        F.when(F.col("n") == 1, F.col("normal")).alias("normal"),
+        F.when(patronymic, F.col("word")).alias("ruled"),
+        "place",
+        F.when(F.col("place").isNotNull(), F.col("n")).alias("n"),
+    )
+    return (
+        hits.where("normal is not null or ruled is not null or place is not null")
+        .repartition(F.col(key))
+        .groupBy(key, "pos")
+        .agg(
+            F.coalesce(F.max("normal"), F.max("ruled")).alias("name_word"),
+            F.max_by("place", "n").alias("place"),
+            F.max("n").alias("n"),
+        )
     )
+
+
+def found_in(hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, name, place): the full name and the place that start here.
+
+    A name is a run of 2-3 name words, each of 4 characters or more. A place
+    that starts inside an earlier one is not counted.
+    """
     by_pos = Window.partitionBy(key).orderBy("pos")
 
-    def after(n: int) -> Column:
-        return F.when(F.lead("pos", n).over(by_pos) == F.col("pos") + n, F.lead("w", n).over(by_pos))
+    def at(offset: int) -> Column:
+        """The name word ``offset`` positions away."""
+        near = F.lead("pos", offset).over(by_pos) == F.col("pos") + offset
+        return F.when(near, F.lead("name_word", offset).over(by_pos))
 
-    runs = hits.select(
+    before = by_pos.rowsBetween(Window.unboundedPreceding, -1)
+    around = hits.select(
         key,
         "pos",
-        "w",
-        (F.coalesce(F.lag("pos").over(by_pos), F.lit(-2)) != F.col("pos") - 1).alias("_starts"),
-        after(1).alias("_w1"),
-        after(2).alias("_w2"),
+        "place",
+        F.coalesce(F.max(F.col("pos") + F.col("n")).over(before), F.lit(0)).alias("_end"),
+        at(-1).alias("_before"),
+        F.col("name_word").alias("_w0"),
+        *(at(n).alias(f"_w{n}") for n in range(1, MAX_WORDS)),
     )
-    long_enough = [F.coalesce(F.length(c), F.lit(MIN_WORD_CHARS)) >= MIN_WORD_CHARS for c in ("w", "_w1", "_w2")]
-    return runs.where(
-        F.col("_starts") & F.col("_w1").isNotNull() & long_enough[0] & long_enough[1] & long_enough[2]
-    ).select(key, "pos", F.concat_ws(" ", "w", "_w1", "_w2").alias("name"))
+    words = [f"_w{n}" for n in range(MAX_WORDS)]
+    accepted = F.col("_before").isNull() & F.col("_w0").isNotNull() & F.col("_w1").isNotNull()
+    for w in words:
+        accepted = accepted & (F.coalesce(F.length(w), F.lit(MIN_WORD_CHARS)) >= MIN_WORD_CHARS)
+    # Words after a gap do not belong to the run.
+    third = F.when(F.col("_w1").isNotNull(), F.col("_w2"))
+    return around.select(
+        key,
+        "pos",
+        F.when(accepted, F.concat_ws(" ", "_w0", "_w1", third)).alias("name"),
+        F.when(F.col("_end") <= F.col("pos"), F.col("place")).alias("place"),
+    )
+
+
+def name_candidates(hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, name): every full name in the text."""
+    return found_in(hits, key).where(F.col("name").isNotNull()).select(key, "pos", "name")
+
+
+def locations(hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, place): every place in the text."""
+    return found_in(hits, key).where(F.col("place").isNotNull()).select(key, "pos", "place")
 
 
 def name_longest(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -116,38 +174,16 @@ def name_longest(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def locations(
-    df: DataFrame,
-    places: DataFrame,
-    text: str = "text",
-    key: str = "doc_id",
-    max_chars: int | None = None,
-    max_words: int = 3,
-    small: bool | None = None,
-) -> DataFrame:
-    """(key, pos, place): places of 1 to ``max_words`` words found in the text.
-
-    At one position the longest wins; a place that starts inside an earlier
-    one is not counted.
-    """
-    parts = F.split(F.lower("token"), " ")
-    table = (
-        places.select(F.get(parts, 0).alias("_word"), parts.alias("_parts"))
-        .where(F.size("_parts") <= max_words)
-        .distinct()
-    )
-    words = words_of(df, text, key, max_words, max_chars).withColumn("_word", F.lower("word"))
-    hits = (
-        gazetteer_join(words, table, "_word", [key, "pos"], "inner", small)
-        .where(F.slice("phrase", 1, F.size("_parts")) == F.col("_parts"))
-        .groupBy(key, "pos")
-        .agg(F.max(F.size("_parts")).alias("_n"), F.max_by("_parts", F.size("_parts")).alias("_parts"))
-    )
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+def locations(hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, place): at one position the longest place wins, and a place
+    that starts inside an earlier one is not counted."""
+    here = Window.partitionBy(key).orderBy("pos", F.desc("n"))
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        hits.withColumn("_end", F.coalesce(F.max(F.col("pos") + F.col("_n")).over(before), F.lit(0)))
-        .where(F.col("_end") <= F.col("pos"))
-        .select(key, "pos", F.initcap(F.array_join("_parts", " ")).alias("place"))
+        hits.where(F.col("place").isNotNull())
+        .select(key, "pos", "place", F.max(F.col("pos") + F.col("n")).over(before).alias("_end"))
+        .where(F.coalesce("_end", F.lit(0)) <= F.col("pos"))
+        .select(key, "pos", "place")
     )
 
 
@@ -160,29 +196,35 @@ def name_matches(
     max_chars: int | None = None,
 ) -> DataFrame:
     """(key, name_matches): places as addresses, then full names, per document."""
-
-    def shaped(found: DataFrame, rank: int, category: str, detector: str, value: str) -> DataFrame:
-        return found.select(
-            key,
-            F.struct(
-                F.lit(rank).alias("rank"),
-                "pos",
-                F.struct(
-                    F.lit(category).alias("category"),
-                    F.lit(detector).alias("detector"),
-                    F.col(value).alias("value"),
-                    F.lit(None).cast("int").alias("line"),
-                ).alias("match"),
-            ).alias("m"),
+    found = found_in(name_hits(df, names, places, text, key, max_chars), key)
+
+    def entry(rank: int, group: Column, category: str, detector: str, value: str) -> Column:
+        match = F.struct(
+            F.lit(category).alias("category"),
+            F.lit(detector).alias("detector"),
+            F.col(value).alias("value"),
+            F.lit(None).cast("int").alias("line"),
+        )
+        return F.when(
+            F.col(value).isNotNull(), F.struct(F.lit(rank).alias("rank"), group.alias("group"), match.alias("match"))
         )
 
-    found = []
-    if places is not None:
-        found.append(shaped(locations(df, places, text, key, max_chars), 0, "address", "location", "place"))
-    if names is not None:
-        best = name_longest(name_candidates(df, names, text, key, max_chars), key)
-        found.append(shaped(best, 1, "full_name", "full_name", "name"))
-    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    # Places count one by one, names once per first word (the longest, then the
+    # earliest). All of it stays in the partitioning by key.
+    first_word = F.lower(F.substring_index("name", " ", 1))
+    entries = F.array(
+        entry(0, F.col("pos").cast("string"), "address", "location", "place"),
+        entry(1, first_word, "full_name", "full_name", "name"),
+    )
+    best = (
+        found.select(key, "pos", F.explode_outer(F.array_compact(entries)).alias("e"))
+        .where(F.col("e").isNotNull())
+        .groupBy(key, "e.rank", "e.group")
+        .agg(
+            F.max_by("e.match", F.struct(F.length("e.match.value"), -F.col("pos"))).alias("match"),
+            F.min("pos").alias("pos"),
+        )
+    )
     # A group is what one text holds, so its size is bounded by that text.
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    grouped = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "match"))).alias("ms"))
     return grouped.select(key, F.transform("ms", lambda m: m["match"]).alias("name_matches"))
