@@ -38,7 +38,7 @@ def native_similarity(a: Column, b: Column) -> Column:
     """Exact when one value contains the other or characters are substituted."""
     la, lb = F.length(a), F.length(b)
     contained = F.contains(a, b) | F.contains(b, a)
-    return F.when(contained, 2.0 * F.least(la, lb) / (la + lb)).otherwise(
+    return F.when(la + lb == 0, 1.0).when(contained, 2.0 * F.least(la, lb) / (la + lb)).otherwise(
         1.0 - F.levenshtein(a, b) / F.greatest(la, lb)
     )
 

@@ -88,7 +88,7 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {
     "md": lambda content: _plain(text_decode(content)),
     "html": lambda content: _plain(html_text(text_decode(content))),
     "doc": lambda content: _plain(binary_text_salvage(content)),
-    "json": lambda content: json_parse(F.decode(content, "UTF-8")),
+    "json": json_parse,
     "csv": _table_text(_csv_text),
     "parquet": _table_text(_parquet_text),
 }
@@ -102,27 +102,18 @@ def extract_text(
 ) -> DataFrame:
     """Add ``text``, ``status`` and ``errors``; drop the content.
 
-    Each format's files take their own branch, so a Python extractor is not
-    handed the content of other formats. A format without an extractor fails
-    once: its text has to come in through ``corpus_table``.
+    One pass over the files. An extractor is handed the content of its own
+    format only, so nothing else is sent to the Python ones. A format without
+    an extractor fails once: its text has to come in through ``corpus_table``.
     """
-    table = EXTRACTORS | (extractors or {})
     key = format_key(F.col(fmt))
-    others = [c for c in files.columns if c != content]
-    branches = [
-        files.where(key == name).select(*others, extract(F.col(content)).alias("_x"))
-        for name, extract in table.items()
-    ]
     missing = F.concat(F.lit("no text extractor for format: "), F.coalesce(key, F.lit("")))
-    branches.append(
-        files.where(~F.coalesce(key, F.lit("")).isin(*table)).select(
-            *others, F.struct(F.lit(None).cast("string").alias("text"), missing.alias("error")).alias("_x")
-        )
-    )
-    united = branches[0]
-    for branch in branches[1:]:
-        united = united.unionByName(branch)
-    return with_status(united, F.col("_x.text"), F.col("_x.error")).drop("_x")
+    extracted = F.struct(F.lit(None).cast("string").alias("text"), missing.alias("error"))
+    for name, extract in (EXTRACTORS | (extractors or {})).items():
+        own = key == name
+        extracted = F.when(own, extract(F.when(own, F.col(content)))).otherwise(extracted)
+    others = [c for c in files.columns if c != content]
+    return with_status(files.select(*others, extracted.alias("_x")), F.col("_x.text"), F.col("_x.error")).drop("_x")
 
 
 def with_status(df: DataFrame, text: Column, error: Column) -> DataFrame:

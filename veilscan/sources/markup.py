@@ -70,13 +70,15 @@ JSON_RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField
 
 @F.arrow_udf(JSON_RESULT)
 def json_parse(documents: pa.Array) -> pa.Array:
-    """(text, error): the document on one line without ASCII escapes.
+    """(text, error): the document (text or bytes) on one line without ASCII escapes.
 
     The standard library's serialiser keeps member order and spacing, which
     matches may span; Spark's variant functions keep neither.
     """
     out = []
     for document in documents.to_pylist():
+        if isinstance(document, bytes):
+            document = document.decode("utf-8", errors="ignore")
         try:
             text = json.dumps(json.loads(document or ""), ensure_ascii=False)
             out.append({"text": text.encode("utf-8", "replace").decode("utf-8"), "error": None})
