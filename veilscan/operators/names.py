@@ -41,7 +41,7 @@ def gazetteer(names: DataFrame | None, places: DataFrame | None) -> DataFrame:
     none = F.lit(None).cast("string")
     parts = []
     if names is not None:
-        normal = F.col("normal") if "normal" in names.columns else F.col("token")
+        normal = F.coalesce("normal", "token") if "normal" in names.columns else F.col("token")
         parts.append(names.select(F.lower("token").alias("phrase"), normal.alias("normal"), none.alias("place")))
     if places is not None:
         parts.append(places.select(F.lower("token").alias("phrase"), none.alias("normal"), F.col("token").alias("place")))
