@@ -104,3 +104,16 @@ def test_pages_group_in_bounded_parts(spark):
     parts = {r.part: r.text for r in corpus_table(pages, pages_per_part=10).collect()}
     assert len(parts) == 10
     assert "\n".join(parts[i] for i in sorted(parts)) == whole[0].text
+
+
+def test_matches_run_on_into_the_next_part(spark):
+    texts = ["a 45 08", "123456 b", "ул. Мира", "д. 5", "x@y.org", "8 999 123", "45-67.", "нет"]
+    pages = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, page long, text string")
+    want = {(m.type, m.value) for m in scan(corpus_table(pages)).first().markup.matches}
+    assert want == {
+        ("passport", "45 08\n123456"), ("address", "ул. Мира д. 5"), ("email", "x@y.org"), ("phone", "8 999 123\n45-67"),
+    }
+    for size in (1, 2, 3, 5):
+        parts = scan(corpus_table(pages, pages_per_part=size, context_pages=2), context="context").collect()
+        assert [(m.type, m.value) for r in parts for m in r.markup.matches].__len__() == 4
+        assert {(m.type, m.value) for r in parts for m in r.markup.matches} == want

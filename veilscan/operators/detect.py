@@ -37,7 +37,7 @@ MATCH = T.StructType(
 )
 MATCHES = T.ArrayType(MATCH)
 
-_RAW, _HEALED = "_raw", "_healed"
+_RAW, _HEALED, _OWN_LINES = "_raw", "_healed", "_own_lines"
 
 
 @dataclass(frozen=True)
@@ -123,15 +123,25 @@ def detect(
     lines: bool | str = True,
     max_chars: int | None = None,
     keep: Sequence[str] | None = None,
+    context: str | None = None,
 ) -> DataFrame:
     """Add ``matches``: all detectors' matches, in detector order.
 
     ``lines`` may be ``"kept"``: lines only where they survive the merging of
     near-equal values. ``keep`` names the columns to carry (all but the text
     by default, so that no later step drags the text along).
+
+    ``context`` names a column with the text that follows, for texts that are
+    parts of a longer one: matches may run into it, but those that start in it
+    are left to the next part.
     """
-    carried = [c for c in df.columns if c != text] if keep is None else list(keep)
+    carried = [c for c in df.columns if c not in (text, context)] if keep is None else list(keep)
     raw = F.coalesce(F.col(text), F.lit(""))
+    if context is not None:
+        own_lines = F.when(F.col(context).isNotNull(), 1 + F.length(raw) - F.length(F.translate(raw, "\n", "")))
+        df = df.withColumn(_OWN_LINES, own_lines)
+        carried, lines = [*carried, _OWN_LINES], True
+        raw = F.concat_ws("\n", raw, F.col(context))
     if max_chars is not None:
         raw = truncate_text(raw, max_chars)
     df = df.select(*carried, raw.alias(_RAW))
@@ -162,7 +172,12 @@ def detect(
 
     parts = [_shape(r, wants_line(r)) for r in rules]
     parts += [F.coalesce(p.find(_source(p)), F.array().cast(MATCHES)) for p in plugins]
-    return df.select(*carried, F.concat(*parts).alias("matches") if parts else F.array().cast(MATCHES).alias("matches"))
+    df = df.select(*carried, (F.concat(*parts) if parts else F.array().cast(MATCHES)).alias("matches"))
+    if context is None:
+        return df
+    # A plug-in may give no line; such a match is kept.
+    own = F.filter("matches", lambda m: F.coalesce(m["line"] <= F.col(_OWN_LINES), F.lit(True)))
+    return df.select(*carried[:-1], own.alias("matches"))
 
 
 def explode_matches(df: DataFrame, matches: str = "matches") -> DataFrame:

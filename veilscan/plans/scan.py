@@ -26,14 +26,15 @@ def scan(
     max_chars: int | None = None,
     max_name_chars: int | None = None,
     similarity: str = "exact",
+    context: str | None = None,
 ) -> DataFrame:
     """All columns but the text, plus ``markup``.
 
     Without gazetteers the plan has no shuffle. With them, the name matches
     (small rows) are joined to the match arrays by ``key``; the text itself is
-    never shuffled.
+    never shuffled. ``context`` is for parts of documents, see ``corpus_table``.
     """
-    found = detect(df, text, rules, plugins, lines="kept", max_chars=max_chars)
+    found = detect(df, text, rules, plugins, lines="kept", max_chars=max_chars, context=context)
     if names is not None or places is not None:
         extra = name_matches(df, text, key, names, places, max_name_chars)
         found = found.join(extra, key, "left").select(

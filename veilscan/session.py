@@ -7,6 +7,7 @@ library sets configuration on a session it did not create.
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -29,16 +30,15 @@ def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
     )
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="veilscan-")
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is
     unset (local runs, tests) a fresh temporary folder is taken.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="veilscan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions.text import is_blank
 
 PAGES_PER_PART = 10_000
+CONTEXT_PAGES = 5
 
 
 def corpus_table(
@@ -16,19 +17,36 @@ def corpus_table(
     page: str = "page",
     text: str = "text",
     pages_per_part: int = PAGES_PER_PART,
+    context_pages: int = CONTEXT_PAGES,
 ) -> DataFrame:
-    """(doc, part, text): pages in order, joined by newline, empty ones skipped.
+    """(doc, part, text, context): pages in order, joined by newline, empty ones skipped.
 
     Pages are grouped by document and page range, so one group never holds
-    more than ``pages_per_part`` pages however large a document is. Documents
-    of ordinary size are one row, part 0.
+    more than ``pages_per_part`` and ``context_pages`` pages, however large a
+    document is. Documents of ordinary size are one row, part 0.
+
+    ``context`` is how the next part begins, null where there is none: given
+    to ``scan``, it lets a match run on from one part into the next.
     """
     kept = pages.where(F.coalesce(F.col(text), F.lit("")) != "")
+    part = F.floor(F.col(page) / pages_per_part)
+    own = F.struct(part.alias("part"), F.lit(False).alias("ahead"))
+    before = F.struct((part - 1).alias("part"), F.lit(True).alias("ahead"))
+    opens_part = (F.col(page) % pages_per_part < context_pages) & (part > 0)
     ranged = kept.select(
-        doc, F.floor(F.col(page) / pages_per_part).alias("part"), F.struct(F.col(page), F.col(text)).alias("p")
+        doc, page, text, F.explode(F.when(opens_part, F.array(own, before)).otherwise(F.array(own))).alias("_t")
+    )
+    grouped = ranged.groupBy(doc, F.col("_t.part").alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct(page, text, "_t.ahead"))).alias("ps")
+    )
+
+    def joined(ahead: bool) -> Column:
+        chosen = F.filter("ps", lambda p: p["ahead"] if ahead else ~p["ahead"])
+        return F.when(F.size(chosen) > 0, F.array_join(F.transform(chosen, lambda p: p[text]), "\n"))
+
+    return grouped.select(doc, "part", joined(False).alias("text"), joined(True).alias("context")).where(
+        F.col("text").isNotNull()
     )
-    grouped = ranged.groupBy(doc, "part").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    return grouped.select(doc, "part", F.array_join(F.transform("ps", lambda p: p[text]), "\n").alias("text"))
 
 
 def non_blank(df: DataFrame, text: str = "text") -> DataFrame:
