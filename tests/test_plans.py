@@ -91,6 +91,8 @@ def test_hot_copies(spark):
     )
     rows = report(df).collect()
     assert len(rows) == 2001
+    assert sorted(rows) == sorted(report(df, dedup="before").collect())
+    assert report(df, dedup=None).count() == 3000
     assert [r.file_path for r in rows if r.categories == "email"] == ["d/00000.html"]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions.text import file_format
-from veilscan.operators.dedup import content_hash, first_of_copies
+from veilscan.operators.dedup import content_dedup, content_hash, first_of_copies
 from veilscan.operators.detect import MATCHES, Plugin, detect, explode_matches, merge_near_equal
 from veilscan.operators.names import name_matches
 from veilscan.operators.rollup import markup
@@ -55,20 +55,28 @@ def report(
     df: DataFrame,
     text: str = "text",
     path: str = "path",
-    dedup: bool = True,
+    dedup: str | None = "after",
     **options,
 ) -> DataFrame:
     """Report rows for a corpus of (path, text), first copy of each text only.
 
-    Copies are dropped after the scan: the scan is narrow, so what is shuffled
-    per document is its hash, path and verdict, not its text.
+    ``dedup="after"`` drops copies after the scan: the scan is narrow, so what
+    is shuffled per document is its hash, path and verdict, not its text.
+    ``"before"`` shuffles the texts once and scans no copy; it pays where copies
+    are a large share of the corpus. ``None`` reports every document.
     """
-    keyed = df.select(path, content_hash(F.col(text)).alias("file_hash"), text)
-    scanned = scan(keyed, text, key=path, **options)
-    rows = scanned.select(path, "file_hash", *report_columns(path))
-    if dedup:
-        rows = first_of_copies(rows, path=path)
-    return rows.drop(path, "file_hash")
+    if dedup not in ("after", "before", None):
+        raise ValueError(f"unknown dedup: {dedup!r}")
+    keyed = df.select(path, text)
+    if dedup == "before":
+        keyed = content_dedup(keyed, content=text, path=path)
+    elif dedup == "after":
+        keyed = keyed.withColumn("file_hash", content_hash(F.col(text)))
+    rows = scan(keyed, text, key=path, **options)
+    if dedup == "after":
+        rows = first_of_copies(rows.select(path, "file_hash", F.struct(*report_columns(path)).alias("row")), path=path)
+        return rows.select("row.*")
+    return rows.select(*report_columns(path))
 
 
 def report_columns(path: str = "path") -> list:
