@@ -7,7 +7,6 @@ and its SQL check read the same rows and both grow with the tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilscan.sources.tables import spread
 
@@ -106,7 +105,3 @@ def names(spark: SparkSession) -> DataFrame:
 
 def places(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p,) for p in PLACES], "token string")
-
-
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").withColumn("html", F.col("html"))
