@@ -11,7 +11,7 @@ from veilscan.functions.dialect import DIGIT, SPACE
 OCR_FROM = "OоОЗзBВIlS"
 OCR_TO = "0003038115"
 
-# How much text the reference behaviour looks at. The library
+# The usual limits on how much text is looked at. The library
 # scans whole texts unless one of these is passed on purpose.
 MAX_SCAN_CHARS = 500_000
 MAX_NAME_CHARS = 5_000
