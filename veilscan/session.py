@@ -39,6 +39,12 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is
-    unset (local runs, tests) a fresh temporary folder is taken.
+    unset on a local session (tests, trials) a fresh temporary folder is taken.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+    return _own_folder()
