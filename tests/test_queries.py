@@ -4,8 +4,11 @@ import pytest
 from oracle_check import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from veilscan.catalog import queries as core
 
-QUERIES, ORACLES = queries(), oracle_sql()
+# The training-data queries have tests of their own in tests/llm.
+QUERIES = {k: v for k, v in queries().items() if k in core.QUERIES}
+ORACLES = {k: v for k, v in oracle_sql().items() if k in core.QUERIES}
 
 
 @pytest.fixture(scope="module")
