@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import language, quality, toxicity
-from veilscan.llm.common import remainder, table
+from veilscan.llm import exact, language, quality, sharding, toxicity
+from veilscan.llm.common import remainder, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,8 +62,46 @@ def op2_language(spark, sf):
     )
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op6_exact_dedup",
+    f"""
+    with lowered as (select doc_id, {_LOWERED} as text from documents),
+    grouped as (
+        select doc_id, text, max(doc_id) over (partition by text) as keep_id, count(*) over (partition by text) as group_size
+        from lowered
+    )
+    select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(text) as text_sha256 from grouped
+    """,
+)
+def op6_exact_dedup(spark, sf):
+    return exact.exact_groups(_documents(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark, sf):
     docs = _documents(spark, sf)
     model = toxicity.fit(docs, _labels(spark, sf, "toxic", remainder("doc_id", 3) == 1))
     return _judged(toxicity.score(docs, model), remainder("id", 3) == 1, 0.7)
+
+
+@query("op9_sharding")
+def op9_sharding(spark, sf):
+    text = whole_text().cast("binary")
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.sha2(text, 256).alias("key"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+    )
+    return sharding.shards(docs).select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
