@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import exact, language, quality, sharding, toxicity
+from veilscan.llm import exact, language, neardup, quality, sharding, toxicity
 from veilscan.llm.common import remainder, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def op2_language(spark, sf):
     )
 
 
+@query("op4_near_dedup")
+def op4_near_dedup(spark, sf):
+    return neardup.near_groups(_documents(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
