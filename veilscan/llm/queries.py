@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import exact, language, neardup, quality, sharding, toxicity
+from veilscan.llm import exact, language, neardup, packing, quality, sharding, tokens, toxicity
 from veilscan.llm.common import remainder, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,18 @@ def op2_language(spark, sf):
     )
 
 
+def _tokenizer(spark: SparkSession):
+    import public_tokenizers
+
+    return tokens.tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_bpe")
+def op3_bpe(spark, sf):
+    vocabulary = _tokenizer(spark)
+    return tokens.digests(tokens.encode(_documents(spark, sf), vocabulary), vocabulary).withColumnRenamed("id", "doc_id")
+
+
 @query("op4_near_dedup")
 def op4_near_dedup(spark, sf):
     return neardup.near_groups(_documents(spark, sf)).withColumnRenamed("id", "doc_id")
@@ -85,6 +97,14 @@ def op6_exact_dedup(spark, sf):
     return exact.exact_groups(_documents(spark, sf)).withColumnRenamed("id", "doc_id")
 
 
+@query("op7_packing")
+def op7_packing(spark, sf):
+    cut_up = packing.pieces(_documents(spark, sf), _tokenizer(spark), end_id=2, with_ids=False)
+    return packing.pack(cut_up).select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark, sf):
     docs = _documents(spark, sf)
