@@ -8,8 +8,14 @@ texts agree in a register with their probability Jaccard similarity. Bands of
 registers give candidates, which are verified by the exact similarity.
 
 Candidates are never all pairs of a bucket: each bucket's texts are compared with
-one centre; while texts of different groups are left in a bucket, another centre is
-taken, and the last few pairs are compared one by one.
+one centre. Of buckets that then still hold several groups, texts whose shingles are
+too rare for any partner leave; the most typical text is the next centre, and the last
+few pairs are compared one by one. Nothing similar is lost by this:
+
+* With p the share of x's weight on shingles it has in common with y, and q that of
+  y, the similarity is at most 1 / (1/p + 1/q - 1).
+* 1 - similarity is a metric, so texts at very different distances from a centre
+  can't be similar.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm.common import chunks, cut, mix, span_hashes, words
@@ -64,7 +70,7 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts
     time, turn = np.zeros(len(shingle)), 0
     while len(shingle):
         turn += 1
-        random = mix(shingle + np.uint64(turn) * np.uint64(0xA0761D6478BD642F))
+        random = mix(shingle + np.uint64(turn * 0xA0761D6478BD642F % 2**64))
         time = time - np.log(((random >> np.uint64(24)).astype(np.float64) + 0.5) * 2.0**-40) / weight
         register = ((random & np.uint64(0xFFFFFF)) * np.uint64(registers) >> np.uint64(24)).astype(np.int64)
         sooner = np.flatnonzero(time < earliest[owner, register])
@@ -92,7 +98,10 @@ def similarity(x: np.ndarray, x_weight: np.ndarray, y: np.ndarray, y_weight: np.
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``(id, text)`` to ``(id, same, buckets)``: a digest of the words, and a hash for each band."""
+    """``(id, text)`` to a digest of the words, ``same``, a hash for each band, ``buckets``, and the shingles' measures.
+
+    ``total`` is the weight of all shingles, ``heaviest`` that of the most frequent one.
+    """
     kind = docs.schema["id"].dataType.simpleString()
     registers = BANDS * BAND_REGISTERS
 
@@ -110,12 +119,16 @@ def signed(docs: DataFrame) -> DataFrame:
             lengths = np.where(counts > 0, BANDS, 0)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             flat = pa.array(bucket[counts > 0].reshape(-1).view(np.int64))
+            total = np.bincount(owner, weight, batch.num_rows).astype(np.int64)
+            heaviest = np.zeros(batch.num_rows, np.int64)
+            np.maximum.at(heaviest, owner, weight)
+            columns = [batch.column("id"), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                ["id", "same", "buckets"],
+                [*columns, pa.array(total), pa.array(heaviest)], ["id", "same", "buckets", "total", "heaviest"]
             )
 
-    return docs.select("id", "text").mapInArrow(sign, f"id {kind}, same binary, buckets array<bigint>")
+    schema = f"id {kind}, same binary, buckets array<bigint>, total long, heaviest long"
+    return docs.select("id", "text").mapInArrow(sign, schema)
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -148,51 +161,97 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return wide.mapInArrow(verify, f"a {kind}, b {kind}, similarity double")
 
 
+def shared_parts(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """How much of each text lies on shingles that another of ``texts`` has too.
+
+    ``(id, part, common, reach)``: the share of its weight, the number of such
+    shingles, and its weight in units of its heaviest shingle.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=1 << 20):
+            owner, shingle, weight, _ = shingles(batch.column("text"))
+            columns = [batch.column("id").take(pa.array(owner)), pa.array(shingle.view(np.int64)), pa.array(weight)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "shingle", "weight"])
+
+    rows = texts.mapInArrow(listed, f"id {kind}, shingle long, weight long")
+    seen = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight"))
+    own = seen.where("n = 1").groupBy("id").agg(F.sum("weight").alias("_own"))
+    return (
+        texts.select("id")
+        .join(classes.select("id", "total", "heaviest"), "id")
+        .join(own, "id", "left")
+        .select("id", (F.col("total") - F.coalesce("_own", F.lit(0))).alias("common"), "total", "heaviest")
+        .select("id", (F.col("common") / F.col("total")).alias("part"), "common", (F.col("total") / F.col("heaviest")).alias("reach"))
+    )
+
+
+def _possible(p: Column, q: Column, least: float) -> Column:
+    """Whether shares ``p`` and ``q`` allow the similarity."""
+    return 1 / p + 1 / q - 1 <= 1 / least + 1e-9
+
+
 def near_links(classes: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
-    """Links (a, b) between classes (id, buckets) that lead wherever candidates of ``least`` similarity lead.
+    """Links (a, b) between classes that lead wherever candidates of ``least`` similarity lead.
 
     Two texts that share a bucket end up in one component if they are similar
-    enough; the links are those that were needed to see so. ``docs`` is (id,
-    text); none come back if no bucket has two texts.
+    enough; the links are those that were needed to see so. ``classes`` is
+    (id, buckets, total, heaviest), ``docs`` (id, text); none come back if no
+    bucket has two texts.
     """
     buckets = classes.select("id", F.explode("buckets").alias("bucket"))
     centres = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("_last")).where("centre < _last")
     members = cut(buckets.join(centres.drop("_last"), "bucket"))
     if members.isEmpty():
         return None
-    needed = members.select("id").distinct()
-    texts = cut(docs.select("id", "text").join(needed, "id").dropDuplicates(["id"]))
-    links: DataFrame | None = None
+    texts = cut(docs.select("id", "text").join(members.select("id").distinct(), "id").dropDuplicates(["id"]))
+    links, parts = None, None
     while True:
         pairs = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         measured = cut(compared(pairs, texts))
         close = measured.where(F.col("similarity") >= least).select("a", "b")
-        links = cut(links.union(close)) if links is not None else close
-        labels = components(links)
+        links = close if links is None else cut(links.union(close))
         # What is left of a bucket without its centre, if it still holds several groups.
+        distance = measured.select(F.col("a").alias("centre"), F.col("b").alias("id"), "similarity")
         scored = (
             members.where("id <> centre")
-            .join(measured.select(F.col("a").alias("centre"), F.col("b").alias("id"), "similarity"), ["centre", "id"])
-            .join(labels, "id", "left")
+            .join(distance, ["centre", "id"])
+            .join(components(links), "id", "left")
             .select("bucket", "id", "similarity", F.coalesce("component", "id").alias("component"))
         )
-        mixed = scored.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
-        members = cut(scored.join(mixed.select("bucket"), "bucket"))
+        members = cut(_mixed(scored))
+        if members.isEmpty():
+            return links
+        if parts is None:
+            parts = cut(shared_parts(texts.join(members.select("id").distinct(), "id", "left_semi"), classes))
+        bounds = members.join(parts, "id")
+        edges = bounds.groupBy("bucket").agg(F.max("part").alias("_most"), F.min("reach").alias("_least"))
+        best = F.least("_most", F.col("common") / F.col("_least"))
+        possible = bounds.join(edges, "bucket").where((F.col("common") > 0) & _possible(F.col("part"), best, least))
+        members = cut(_mixed(possible.drop("_most", "_least")))
         sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        each = sizes.groupBy("bucket").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"), F.sum("n").alias("n"))
-        left_over = each.agg(F.sum("pairs") / 2, F.sum("n")).first()
+        square = F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))
+        left_over = sizes.groupBy("bucket").agg(square.alias("twice"), F.sum("n").alias("n")).agg(F.sum("twice"), F.sum("n")).first()
         if left_over[0] is None:
             return links
-        if left_over[0] <= 4 * left_over[1]:
+        if left_over[0] <= 8 * left_over[1]:
             break
-        again = members.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("centre"))
-        members = cut(members.select("bucket", "id").join(again, "bucket"))
-    # 1 - similarity is a metric, so texts at very different distances from a centre can't be similar.
-    one = members.select("bucket", F.col("id").alias("a"), F.col("component").alias("_c"), F.col("similarity").alias("_s"))
-    two = members.select("bucket", F.col("id").alias("b"), F.col("component").alias("_d"), F.col("similarity").alias("_t"))
-    rest = one.join(two, "bucket").where((F.col("_c") < F.col("_d")) & (F.abs(F.col("_s") - F.col("_t")) <= 1 - least + 1e-9))
-    measured = compared(rest.select("a", "b").distinct(), texts)
-    return links.union(measured.where(F.col("similarity") >= least).select("a", "b"))
+        typical = members.groupBy("bucket").agg(F.max_by("id", F.struct("part", F.xxhash64("id"))).alias("centre"))
+        members = cut(members.select("bucket", "id").join(typical, "bucket"))
+    one, two = (members.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in members.columns if c != "bucket"]) for s in "ab")
+    p = F.least("part_a", F.col("common_b") / F.col("reach_a"))
+    q = F.least("part_b", F.col("common_a") / F.col("reach_b"))
+    near = F.abs(F.col("similarity_a") - F.col("similarity_b")) <= 1 - least + 1e-9
+    rest = one.join(two, "bucket").where((F.col("component_a") < F.col("component_b")) & near & _possible(p, q, least))
+    measured = compared(rest.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), texts)
+    return cut(links.union(measured.where(F.col("similarity") >= least).select("a", "b")))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    several = members.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    return members.join(several.where("_low < _high").select("bucket"), "bucket")
 
 
 def near_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -208,9 +267,11 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     prints = cut(signed(docs))
     with_words = F.size("buckets") > 0
     classes = cut(
-        prints.where(with_words).groupBy("same").agg(F.min("id").alias("class_id"), F.first("buckets").alias("buckets"))
+        prints.where(with_words)
+        .groupBy("same")
+        .agg(F.min("id").alias("class_id"), *[F.first(c).alias(c) for c in ("buckets", "total", "heaviest")])
     )
-    links = near_links(classes.select(F.col("class_id").alias("id"), "buckets"), docs, least)
+    links = near_links(classes.withColumnRenamed("class_id", "id").drop("same"), docs, least)
     named = classes.select("same", "class_id")
     if links is None:
         named = named.withColumn("group_id", F.col("class_id"))

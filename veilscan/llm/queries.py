@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import exact, language, neardup, packing, quality, sharding, tokens, toxicity
+from veilscan.llm import exact, language, licences, neardup, packing, quality, sharding, tokens, toxicity
 from veilscan.llm.common import remainder, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,28 @@ def op4_near_dedup(spark, sf):
     return neardup.near_groups(_documents(spark, sf)).withColumnRenamed("id", "doc_id")
 
 
+@query("op5_licences")
+def op5_licences(spark, sf):
+    found = licences.scan(_documents(spark, sf))
+    base, more = F.transform("places", lambda p: p.label), F.transform("spans", lambda s: s.label)
+
+    def listed(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(F.transform("places", lambda p: p.start)).alias("first_word"),
+        F.array_max(F.transform("places", lambda p: p.start)).alias("last_word"),
+        listed(base).alias("base_labels"),
+        listed(F.concat(base, more)).alias("labels"),
+        F.when(F.size("places") > 0, 1.0)
+        .otherwise(F.coalesce(F.array_max(F.transform("spans", lambda s: s.share)), F.lit(0.0)))
+        .alias("score"),
+    )
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
