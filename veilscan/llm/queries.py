@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import exact, language, licences, neardup, packing, quality, sharding, tokens, toxicity
+from veilscan.llm import exact, language, licences, neardup, neighbours, packing, quality, sharding, tokens, toxicity
 from veilscan.llm.common import remainder, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,3 +152,9 @@ def op9_sharding(spark, sf):
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op10_neighbours")
+def op10_neighbours(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return neighbours.nearest(vectors, "id % 100 = 0").withColumnRenamed("id", "vec_id")
