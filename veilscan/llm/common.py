@@ -41,13 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def own_names(df: DataFrame, **columns: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``df`` reduced to the columns used, under private names, and the way back.
+def with_row(df: DataFrame, **columns: str) -> DataFrame:
+    """The columns used, under the operators' names, and the whole row as ``row``.
 
-    Other columns of the input, whatever they are called, can't clash.
+    Whatever other columns of the input are called, they can't clash.
     """
-    inner = df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
-    return inner, lambda out: out.withColumnsRenamed({n: s for n, s in columns.items() if n in out.columns})
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
+
+
+def kept_rows(df: DataFrame, condition: Column | str) -> DataFrame:
+    """The rows of ``with_row`` that fulfil a condition, in their own columns."""
+    names = df.schema["row"].dataType.names
+    return df.where(condition).select(*[F.col("row")[n].alias(n) for n in names])
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

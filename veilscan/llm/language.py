@@ -147,16 +147,16 @@ def fit(
     return languages, (prototypes / np.maximum(norms, 1e-12)).astype(np.float32)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: tuple[str, ...] = ()) -> DataFrame:
     """``(id, text)`` with the nearest language and its cosine.
 
     ``und`` with 0 where the text is null, has no letter, or no language was
     learned. Ties go to the first language in alphabetical order; the cosine
-    is cut off at 0. Rows come back as often as they came in.
+    is cut off at 0. Rows come back as often as they came in, with the
+    columns named in ``carry``.
     """
     languages, prototypes = model
     dimensions = prototypes.shape[1]
-    kind = docs.schema["id"].dataType
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -170,9 +170,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 score = np.where(known, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0)
             names = [languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                ["id", "lang_pred", "score"],
+                [*map(batch.column, ["id", *carry]), pa.array(names, pa.string()), pa.array(score, pa.float64())],
+                ["id", *carry, "lang_pred", "score"],
             )
 
-    schema = f"id {kind.simpleString()}, lang_pred string, score double"
-    return docs.select("id", "text").mapInArrow(nearest, schema)
+    names = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("id", *carry))
+    return docs.select("id", *carry, "text").mapInArrow(nearest, f"{names}, lang_pred string, score double")

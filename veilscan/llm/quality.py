@@ -129,19 +129,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1600, longest: int
     return Model(good, bad, *calibrate(np.array([r.x for r in rows]), label, weight * len(label) / weight.sum()))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(id, text)`` with the chance of label 1, ``score``.
 
     Null counts as the empty text, which has a score of its own. Rows come back
-    as often as they came in.
+    as often as they came in, with the columns named in ``carry``.
     """
-    kind = docs.schema["id"].dataType.simpleString()
     good, bad, centre, spread, weights = model.good, model.bad, model.centre, model.spread, model.weights
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             x = (measures(batch.column("text"), good, bad) - centre) / spread
             chance = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(chance)], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ["id", *carry]), pa.array(chance)], ["id", *carry, "score"])
 
-    return docs.select("id", "text").mapInArrow(scored, f"id {kind}, score double")
+    names = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("id", *carry))
+    return docs.select("id", *carry, "text").mapInArrow(scored, f"{names}, score double")

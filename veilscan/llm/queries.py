@@ -62,7 +62,7 @@ def op2_language(spark, sf):
     )
 
 
-def _tokenizer(spark: SparkSession):
+def tokenizer_of(spark: SparkSession):
     import public_tokenizers
 
     return tokens.tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
@@ -70,7 +70,7 @@ def _tokenizer(spark: SparkSession):
 
 @query("op3_bpe")
 def op3_bpe(spark, sf):
-    vocabulary = _tokenizer(spark)
+    vocabulary = tokenizer_of(spark)
     return tokens.digests(tokens.encode(_documents(spark, sf), vocabulary), vocabulary).withColumnRenamed("id", "doc_id")
 
 
@@ -121,7 +121,7 @@ def op6_exact_dedup(spark, sf):
 
 @query("op7_packing")
 def op7_packing(spark, sf):
-    cut_up = packing.pieces(_documents(spark, sf), _tokenizer(spark), end_id=2, with_ids=False)
+    cut_up = packing.pieces(_documents(spark, sf), tokenizer_of(spark), end_id=2, with_ids=False)
     return packing.pack(cut_up).select(
         F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )

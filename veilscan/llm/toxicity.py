@@ -166,13 +166,12 @@ def train(row, flat, label, share, alpha, least_ratio, least_texts, penalty, ste
     return Model(buckets, weights * scale, float(bias + np.log(max(odds, 1e-9))))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(id, text)`` with the chance of label 1, ``score``.
 
     Null, empty and word-less texts get the score of no feature at all. Rows
-    come back as often as they came in.
+    come back as often as they came in, with the columns named in ``carry``.
     """
-    kind = docs.schema["id"].dataType.simpleString()
     buckets, weights, bias = model.buckets, model.weights, model.bias
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +181,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             text, bucket = features(batch.column("text"), chosen)
             z = np.bincount(text, weight[bucket], minlength=batch.num_rows) + bias
             chance = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(chance)], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ["id", *carry]), pa.array(chance)], ["id", *carry, "score"])
 
-    return docs.select("id", "text").mapInArrow(scored, f"id {kind}, score double")
+    names = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("id", *carry))
+    return docs.select("id", *carry, "text").mapInArrow(scored, f"{names}, score double")
