@@ -21,22 +21,6 @@ def _by_number(values: list[int]) -> Column:
     return F.array(*[F.lit(int(v)).cast("long") for v in values])
 
 
-def _quotas(wanted: list, loads: list[int], caps: list[int]) -> dict[tuple[int, int], int]:
-    """How many rows may go from one shard to another: exchanges, and shares of the room left."""
-    total: dict[tuple[int, int], int] = {}
-    for r in wanted:
-        total[r.shard, r.target] = total.get((r.shard, r.target), 0) + r.n
-    swaps = {(a, b): min(n, total.get((b, a), 0)) for (a, b), n in total.items()}
-    into: dict[int, int] = {}
-    for (a, b), n in total.items():
-        into[b] = into.get(b, 0) + n - swaps[a, b]
-    out = {}
-    for (a, b), n in total.items():
-        room, rest = max(caps[b] - loads[b], 0), n - swaps[a, b]
-        out[a, b] = swaps[a, b] + (rest if into[b] <= room else rest * room // max(into[b], 1))
-    return out
-
-
 def _thresholds(wanted: list, quotas: dict[tuple[int, int], int]) -> tuple[dict[tuple[int, int], int], dict]:
     """The priority below which rows of each pair of shards are admitted, and how many those are."""
     limit, taken = {}, {}
@@ -52,20 +36,28 @@ def _thresholds(wanted: list, quotas: dict[tuple[int, int], int]) -> tuple[dict[
 
 
 def _admitted(wanted: list, loads: list[int], caps: list[int]) -> dict[tuple[int, int], int]:
-    """Thresholds under which no shard ends above its quota."""
-    quotas = _quotas(wanted, loads, caps)
+    """Thresholds under which no shard ends above its quota, given what leaves it in the same round.
+
+    All that want to move may, at first; what flows into a shard that would
+    end too full is cut down until none does.
+    """
+    quotas: dict[tuple[int, int], int] = {}
+    for r in wanted:
+        quotas[r.shard, r.target] = quotas.get((r.shard, r.target), 0) + r.n
     while True:
         limit, taken = _thresholds(wanted, quotas)
-        after = list(loads)
+        after, inflow = list(loads), [0] * len(caps)
         for (a, b), n in taken.items():
             after[a] -= n
             after[b] += n
-        over = [s for s in range(len(caps)) if after[s] > caps[s]]
-        if not over:
+            inflow[b] += n
+        excess = [max(after[s] - caps[s], 0) for s in range(len(caps))]
+        if not any(excess):
             return limit
-        for (a, b), n in taken.items():
-            if b in over:
-                quotas[a, b] = min(quotas[a, b], n) // 2
+        for pair, n in taken.items():
+            over = excess[pair[1]]
+            if over:
+                quotas[pair] = min(n - 1, n * (inflow[pair[1]] - over) // inflow[pair[1]]) if n else 0
 
 
 def shards(rows: DataFrame, count: int = 8, rounds: int = 8) -> DataFrame:
