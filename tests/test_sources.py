@@ -196,3 +196,36 @@ def test_stream(spark, tmp_path):
     add([(4, datetime(2024, 1, 2), "a@b.ru"), (5, datetime(2024, 1, 2), "серия 45 08 123456")])
     assert sorted(r.categories for r in run()) == [[], ["email"], ["passport"]]
     assert len(run(event_time="at", within="1 hour")) >= 3
+
+
+def test_csv_files_as_they_are_met(spark, tmp_path):
+    """An encoding per file, newlines in quotes, dotted names, surplus fields that are empty."""
+    (tmp_path / "a.csv").write_bytes('имя,e.mail\nПётр,a@b.ru\n"серия 45\n08 123456",x\n1,a@b.ru,\nshort\n"a,b",\n'.encode())
+    (tmp_path / "b.csv").write_bytes("имя,e.mail\nПётр,c@d.ru\n".encode("cp1251"))
+    table = read_csv_table(spark, str(tmp_path))
+    assert table.columns == ["имя", "e.mail"]
+    assert sorted(tuple(r) for r in table.collect()) == sorted(
+        [("Пётр", "a@b.ru"), ("серия 45\n08 123456", "x"), ("short", ""), ("a,b", ""), ("Пётр", "c@d.ru")]
+    )
+    assert "Пётр c@d.ru" in [r.text for r in table_rows_text(table).collect()]
+    found = {(r.column_name, r.category): (r.hits, r.distinct_values) for r in table_cell_scan(table).collect()}
+    assert found == {("имя", "passport"): (1, 1), ("e.mail", "email"): (2, 2)}
+
+
+def test_references_take_linear_time(spark):
+    many, padded = "<p>" + "&#1048;" * 10_000 + "</p>", "&#0000000000065;&#x0000000042;&#99999999;&bogus;&amp;"
+    rows = spark.createDataFrame([(many,), (padded,)], "h string").select(html_text(F.col("h")).alias("t")).collect()
+    assert [r.t for r in rows] == ["И" * 10_000, "AB�&bogus&"]
+
+
+def test_places_that_overlap(spark):
+    """A place counts from the end of the last one that counted; any number of words."""
+    from veilscan.operators import names
+
+    listed = ["Нижний Новгород", "Новгород Великий", "Великий Устюг", "Старый Новый Большой Город"]
+    places = spark.createDataFrame([(p,) for p in listed], "token string")
+    text = "Нижний Новгород Великий Устюг и Старый Новый Большой Город"
+    hits = names.name_hits(spark.createDataFrame([(1, text)], "doc_id long, text string"), places=places)
+    assert sorted((r.pos, r.place) for r in names.locations(hits).collect()) == [
+        (0, "Нижний Новгород"), (2, "Великий Устюг"), (5, "Старый Новый Большой Город"),
+    ]

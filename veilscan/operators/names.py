@@ -8,7 +8,7 @@ not land in one task. Names and places share one pass over the text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions.matching import find_all
@@ -19,7 +19,6 @@ MAX_WORDS, MIN_WORD_CHARS = 3, 4
 PATRONYMIC = "(?:ович|евич|ьич|овна|евна|ична)$"
 
 TOKEN = r"\p{L}[\p{L}\p{N}-]*|\S"
-MAX_PLACE_WORDS = 3
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
@@ -49,6 +48,11 @@ def gazetteer(names: DataFrame | None, places: DataFrame | None) -> DataFrame:
     return both.groupBy("phrase").agg(F.min("normal").alias("normal"), F.min("place").alias("place"))
 
 
+def longest_place(table: DataFrame) -> int:
+    """The words of the gazetteer's longest place, as many as a text's phrases need."""
+    return table.agg(F.max(F.size(find_all(F.coalesce("place", F.lit("")), TOKEN)))).first()[0] or 1
+
+
 def phrases_of(df: DataFrame, text: str, key: str, longest: int = 1, max_chars: int | None = None) -> DataFrame:
     """(key, pos, n, word, phrase): every word, and phrases of up to ``longest`` words.
 
@@ -88,7 +92,7 @@ def name_hits(
     are partitioned by ``key``, so the steps after this one do not shuffle.
     """
     table = gazetteer(names, places)
-    phrases = phrases_of(df, text, key, 1 if places is None else MAX_PLACE_WORDS, max_chars)
+    phrases = phrases_of(df, text, key, 1 if places is None else longest_place(table), max_chars)
     patronymic = (F.col("n") == 1) & F.col("phrase").rlike(PATRONYMIC) & F.lit(names is not None)
     if is_small(table) if small is None else small:
         found = phrases.join(F.broadcast(table), "phrase", "left").where(
@@ -120,40 +124,44 @@ def name_hits(
 
 
 def found_in(hits: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, name, place): the full name and the place that start here.
+    """(key, pos, name, place): the full names and the places of a text, by where they start.
 
     A name is a run of 2-3 name words, each of 4 characters or more. A place
-    that starts inside an earlier one is not counted.
+    that starts inside the last one that counted is not counted. One text's
+    hits are one array, in the partitioning by ``key``.
     """
-    by_pos = Window.partitionBy(key).orderBy("pos")
-
-    def at(offset: int) -> Column:
-        """The name word ``offset`` positions away."""
-        near = F.lead("pos", offset).over(by_pos) == F.col("pos") + offset
-        return F.when(near, F.lead("name_word", offset).over(by_pos))
+    hit = F.struct(F.col("pos").cast("int").alias("pos"), F.col("n").cast("int").alias("n"), "name_word", "place")
+    texts = hits.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
+
+    def word(at: Column, pos: Column) -> Column:
+        """The name word of a hit, if it stands at ``pos``."""
+        near = F.get("_hits", at)
+        return F.when(near["pos"] == pos, near["name_word"])
+
+    def name(h: Column, i: Column) -> Column:
+        before = F.when(i > 0, word(i - 1, h["pos"] - 1))
+        words = [h["name_word"], *(word(i + k, h["pos"] + k) for k in range(1, MAX_WORDS))]
+        accepted = before.isNull() & words[0].isNotNull() & words[1].isNotNull()
+        for w in words:
+            accepted = accepted & (F.coalesce(F.length(w), F.lit(MIN_WORD_CHARS)) >= MIN_WORD_CHARS)
+        # Words after a gap do not belong to the run.
+        words[2] = F.when(words[1].isNotNull(), words[2])
+        return F.struct(h["pos"].alias("pos"), F.when(accepted, F.concat_ws(" ", *words)).alias("name"), F.lit(None).cast("string").alias("place"))
+
+    entry = "array<struct<pos:int,name:string,place:string>>"
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(entry).alias("taken"))
+
+    def step(state: Column, h: Column) -> Column:
+        free = h["pos"] >= state["end"]
+        found = F.struct(h["pos"].alias("pos"), F.lit(None).cast("string").alias("name"), h["place"].alias("place"))
+        return F.struct(
+            F.when(free, h["pos"] + h["n"]).otherwise(state["end"]).alias("end"),
+            F.when(free, F.concat(state["taken"], F.array(found))).otherwise(state["taken"]).alias("taken"),
+        )
 
-    before = by_pos.rowsBetween(Window.unboundedPreceding, -1)
-    around = hits.select(
-        key,
-        "pos",
-        "place",
-        F.coalesce(F.max(F.col("pos") + F.col("n")).over(before), F.lit(0)).alias("_end"),
-        at(-1).alias("_before"),
-        F.col("name_word").alias("_w0"),
-        *(at(n).alias(f"_w{n}") for n in range(1, MAX_WORDS)),
-    )
-    words = [f"_w{n}" for n in range(MAX_WORDS)]
-    accepted = F.col("_before").isNull() & F.col("_w0").isNotNull() & F.col("_w1").isNotNull()
-    for w in words:
-        accepted = accepted & (F.coalesce(F.length(w), F.lit(MIN_WORD_CHARS)) >= MIN_WORD_CHARS)
-    # Words after a gap do not belong to the run.
-    third = F.when(F.col("_w1").isNotNull(), F.col("_w2"))
-    return around.select(
-        key,
-        "pos",
-        F.when(accepted, F.concat_ws(" ", "_w0", "_w1", third)).alias("name"),
-        F.when(F.col("_end") <= F.col("pos"), F.col("place")).alias("place"),
-    )
+    names = F.filter(F.transform("_hits", name), lambda f: f["name"].isNotNull())
+    places = F.aggregate(F.filter("_hits", lambda h: h["place"].isNotNull()), start, step)["taken"]
+    return texts.select(key, F.explode_outer(F.concat(names.cast(entry), places)).alias("_f")).where("_f is not null").select(key, "_f.*")
 
 
 def name_candidates(hits: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -174,19 +182,6 @@ def name_longest(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def locations(hits: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, place): at one position the longest place wins, and a place
-    that starts inside an earlier one is not counted."""
-    here = Window.partitionBy(key).orderBy("pos", F.desc("n"))
-    before = here.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        hits.where(F.col("place").isNotNull())
-        .select(key, "pos", "place", F.max(F.col("pos") + F.col("n")).over(before).alias("_end"))
-        .where(F.coalesce("_end", F.lit(0)) <= F.col("pos"))
-        .select(key, "pos", "place")
-    )
-
-
 def name_matches(
     df: DataFrame,
     text: str = "text",

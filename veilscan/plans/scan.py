@@ -34,6 +34,8 @@ def scan(
     (small rows) are joined to the match arrays by ``key``; the text itself is
     never shuffled. ``context`` is for parts of documents, see ``corpus_table``.
     """
+    if context is not None and (names is not None or places is not None):
+        raise ValueError("gazetteers need whole documents, not parts of them")
     found = detect(df, text, rules, plugins, lines="kept", max_chars=max_chars, context=context)
     if names is not None or places is not None:
         extra = name_matches(df, text, key, names, places, max_name_chars)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.text import is_blank
 
-PAGES_PER_PART = 10_000
 CONTEXT_PAGES = 5
 
 
@@ -16,19 +15,24 @@ def corpus_table(
     doc: str = "doc_id",
     page: str = "page",
     text: str = "text",
-    pages_per_part: int = PAGES_PER_PART,
+    pages_per_part: int | None = None,
     context_pages: int = CONTEXT_PAGES,
 ) -> DataFrame:
     """(doc, part, text, context): pages in order, joined by newline, empty ones skipped.
 
-    Pages are grouped by document and page range, so one group never holds
-    more than ``pages_per_part`` and ``context_pages`` pages, however large a
-    document is. Documents of ordinary size are one row, part 0.
+    A document is one row, part 0, whatever its number of pages, so that it
+    gets one verdict; its text must fit a cell (2 GB).
 
-    ``context`` is how the next part begins, null where there is none: given
-    to ``scan``, it lets a match run on from one part into the next.
+    ``pages_per_part`` cuts larger documents by page range, for what looks at
+    parts alone. ``context`` is then how the next part begins, null where there
+    is none: given to ``scan``, it lets a match run on from one part into the
+    next.
     """
     kept = pages.where(F.coalesce(F.col(text), F.lit("")) != "")
+    if pages_per_part is None:
+        whole = kept.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(page, text))).alias("ps"))
+        joined_text = F.array_join(F.transform("ps", lambda p: p[text]), "\n").alias("text")
+        return whole.select(doc, F.lit(0).cast("bigint").alias("part"), joined_text, F.lit(None).cast("string").alias("context"))
     part = F.floor(F.col(page) / pages_per_part)
     own = F.struct(part.alias("part"), F.lit(False).alias("ahead"))
     before = F.struct((part - 1).alias("part"), F.lit(True).alias("ahead"))

@@ -44,24 +44,30 @@ def _code_point(code: Column) -> Column:
     )
 
 
-def _referenced(name: Column) -> Column:
-    number = F.when(
-        name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 12), 16, 10).try_cast("bigint")
-    ).otherwise(F.substring(name, 2, 12).try_cast("bigint"))
+def _referenced(reference: Column) -> Column:
+    """What a reference stands for; numbers may have any count of leading zeros. An unknown name stays, without its semicolon."""
+    name = F.rtrim(F.substring(reference, 2, 1 << 30), F.lit(";"))
+    digits = F.regexp_replace(name, "^#[xX]?0*", "")
+    # Eight digits or more are beyond the last code point, in either base.
+    short = F.when(F.length(digits) < 8, digits)
+    number = F.when(name.rlike("^#[xX]"), F.conv(short, 16, 10).try_cast("bigint")).otherwise(short.try_cast("bigint"))
+    # Bound once: a lambda's argument is a value, not an expression repeated in every use.
+    numeric = F.element_at(F.transform(F.array(F.coalesce(number, F.lit(0))), _code_point), 1)
     at = F.position(F.concat(F.lit(_ENTRY), name, F.lit(_IS)), F.lit(_TABLE))
     entry = F.substring(F.lit(_TABLE), at + F.length(name) + 2, F.lit(_LONGEST + 1))
     named = F.when(at > 0, F.substring_index(entry, _ENTRY, 1)).otherwise(F.concat(F.lit("&"), name))
-    return F.when(name.startswith("#"), _code_point(F.coalesce(number, F.lit(0)))).otherwise(named)
+    return F.when(name.startswith("#"), numeric).otherwise(named)
 
 
 def unescape_html(text: Column) -> Column:
-    """Resolve numeric and named character references in one pass."""
+    """Resolve numeric and named character references in one pass, in linear time.
+
+    The references are found once per text and paired with the pieces between them.
+    """
     pieces = F.split(text, _REFERENCE, -1)
-    names = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1))
-    resolved = F.array_join(
-        F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(_referenced(F.get(names, i)), F.lit("")))), ""
-    )
-    return F.when(F.contains(text, F.lit("&")), resolved).otherwise(text)
+    names = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    resolved = F.zip_with(pieces, names, lambda p, n: F.concat(p, F.when(n.isNull(), "").otherwise(_referenced(n))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(resolved, "")).otherwise(text)
 
 
 def html_text(html: Column) -> Column:

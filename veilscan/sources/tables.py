@@ -26,9 +26,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *(keys or ()))
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or back-ticks, as an expression takes it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def row_text(columns: Sequence[str]) -> Column:
     """All values of a row as one line; nulls become empty strings."""
-    return F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    return F.concat_ws(" ", *(F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")) for c in columns))
 
 
 def table_rows_text(
@@ -41,7 +46,7 @@ def table_rows_text(
     with null keys.
     """
     columns = list(df.columns if columns is None else columns)
-    rows = df.select(*key, row_text(columns).alias("text"))
+    rows = df.select(*map(quoted, key), row_text(columns).alias("text"))
     if not header:
         return rows
     schema = rows.schema
@@ -57,47 +62,71 @@ def table_cell_scan(
 ) -> DataFrame:
     """Which columns hold which category: hits and distinct values.
 
-    Counting distinct values goes through (column, category, value) first, so
-    neither a dominant column nor a dominant value becomes one task's work.
+    Equal cells of a column are put together, within each task first, and
+    scanned once. Counting distinct values goes through (column, category,
+    value), so neither a dominant column nor a dominant value becomes one
+    task's work.
     """
     columns = list(df.columns if columns is None else columns)
-    cells = df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot(
-        [], columns, "column_name", "cell"
-    )
-    found = explode_matches(detect(cells.where(F.col("cell").isNotNull()), "cell", rules, lines=False))
-    per_value = found.groupBy("column_name", "category", "value").agg(F.count("*").alias("n"))
+    named = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast("string").alias("cell")) for c in columns))
+    cells = df.select(F.explode(named).alias("_c")).select("_c.*").where(F.col("cell").isNotNull())
+    cells = cells.groupBy("column_name", "cell").agg(F.count("*").alias("_times"))
+    found = explode_matches(detect(cells, "cell", rules, lines=False))
+    per_value = found.groupBy("column_name", "category", "value").agg(F.sum("_times").alias("n"))
     return per_value.groupBy("column_name", "category").agg(
         F.sum("n").alias("hits"), F.count("*").alias("distinct_values")
     )
 
 
-_SURPLUS = "_surplus"
+_RAW, _FILE = "_raw_record", "_csv_file"
+
+
+def _own_name(raw: str) -> str:
+    """A header field read as single bytes, in the first encoding that fits."""
+    data = raw.encode("latin-1", "replace")
+    for encoding in ("utf-8-sig", "cp1251", "latin-1"):
+        try:
+            return data.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return raw
+
+
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding): utf-8, else cp1251, else latin-1, whichever all of a file's bytes fit first."""
+    undefined = F.contains(F.col("value").cast("binary"), F.lit(CP1251_UNDEFINED.encode("latin-1")))
+    return (
+        spark.read.text(path)
+        .groupBy(F.col("_metadata.file_path").alias(_FILE))
+        .agg(F.bool_and(F.is_valid_utf8("value")).alias("_utf8"), F.bool_or(undefined).alias("_undefined"))
+        .select(_FILE, F.when(F.col("_utf8"), "utf-8").when(~F.col("_undefined"), "cp1251").otherwise("latin-1").alias("_encoding"))
+    )
 
 
-def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table with every column a string.
+def read_csv_table(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
+    """A CSV table with every column a string; each file in its own encoding.
 
-    Encodings are tried in the order utf-8, cp1251, latin-1 for the table as a
-    whole. Rows with too many fields are skipped; short rows are filled up.
+    Quoted fields may hold newlines, so a file is read by one task and files
+    side by side. Rows with too many fields, empty ones included, are skipped;
+    short rows are filled up. The files share the first one's header. ``file``
+    names a column to hold the file's path.
     """
-    lines = spark.read.text(path)
-    valid = F.is_valid_utf8("value")
-    utf8, undefined = lines.agg(
-        F.coalesce(F.bool_and(valid), F.lit(True)),
-        F.coalesce(F.bool_or(F.contains(F.col("value").cast("binary"), F.lit(CP1251_UNDEFINED.encode("latin-1")))), F.lit(False)),
-    ).first()
-    reader = spark.read.option("header", True).option("encoding", "UTF-8" if utf8 else "ISO-8859-1").option("escape", '"')
+    reader = spark.read.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').option("multiLine", True)
     names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
-    table = reader.schema(schema).csv(path).where(F.col(_SURPLUS).isNull()).drop(_SURPLUS)
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(_RAW, T.StringType())])
+    read = reader.option("enforceSchema", True).option("columnNameOfCorruptRecord", _RAW).schema(schema).csv(path)
+    # The raw record is there for rows with another count of fields only.
+    unquoted = F.regexp_replace(_RAW, '(?s)"(?:[^"]|"")*"', "")
+    fields = F.length(unquoted) - F.length(F.translate(unquoted, ",", "")) + 1
+    rows = read.select("*", F.col("_metadata.file_path").alias(_FILE)).where(F.col(_RAW).isNull() | (fields <= len(names)))
+    rows = rows.join(file_encodings(spark, path), _FILE, "left")
 
     def clean(name: str) -> Column:
-        value = F.col(f"`{name}`")
-        if not utf8 and not undefined:
-            value = from_cp1251(value)
-        return F.coalesce(value, F.lit(""))
-
-    renamed = {n: n.lstrip("﻿") for n in names}
-    if not utf8 and not undefined:
-        renamed = {n: n.encode("latin-1", "replace").decode("cp1251", "replace") for n in names}
-    return table.select(*(clean(n).alias(renamed[n]) for n in names))
+        value = F.col(name)
+        as_bytes = F.encode(value, "ISO-8859-1")
+        decoded = F.when(F.col("_encoding") == "utf-8", F.decode(as_bytes, "UTF-8"))
+        decoded = decoded.when(F.col("_encoding") == "cp1251", from_cp1251(value)).otherwise(value)
+        return F.coalesce(F.when(value.rlike(r"[^\x00-\x7F]"), decoded).otherwise(value), F.lit(""))
+
+    own = [F.col(_FILE).alias(file)] if file else []
+    return rows.select(*(clean(f"_c{i}").alias(_own_name(n)) for i, n in enumerate(names)), *own)
