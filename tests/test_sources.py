@@ -229,3 +229,28 @@ def test_places_that_overlap(spark):
     assert sorted((r.pos, r.place) for r in names.locations(hits).collect()) == [
         (0, "Нижний Новгород"), (2, "Великий Устюг"), (5, "Старый Новый Большой Город"),
     ]
+
+
+def test_a_file_beyond_the_limit_fails_alone(spark, tmp_path):
+    for name, size in (("small", 10), ("large", 5_000)):
+        (tmp_path / f"{name}.html").write_text("<p>a@b.ru</p>" + "x" * size)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        rows, failed = directory_report(spark, str(tmp_path))
+        assert [r.file_path.rsplit("/", 1)[1] for r in rows.collect()] == ["small.html"]
+        (one,) = failed.collect()
+        assert one.path.endswith("large.html") and "too large" in one.errors[0].error
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_failures_of_detectors_are_counted(spark, texts_df):
+    from veilscan.operators.detect import Plugin, detect, detector_failures, isolated
+
+    def picky(text):
+        if "bad" in text:
+            raise KeyError(text)
+        return [("word", text, 1)]
+
+    found = detect(texts_df(["good", "bad", "bad too"]), rules=[], plugins=[Plugin("picky", "word", isolated(picky, "picky", record=True))])
+    assert [tuple(r) for r in detector_failures(found).collect()] == [("picky", "KeyError", 2)]

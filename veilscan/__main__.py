@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import SparkSession
 
-from veilscan.plans.directory import directory_report
+from veilscan.plans.directory import directory_rows, split_rows
 from veilscan.plans.report import write_report
 
 
@@ -19,8 +19,13 @@ def main(argv: list[str] | None = None) -> str | None:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("veilscan").getOrCreate()
     formats = args.formats.split(",") if args.formats else None
-    rows, _ = directory_report(spark, args.dataset, formats)
-    return write_report(rows, args.output, datetime.now().strftime("%Y%m%d-%H%M%S"))
+    run, output = datetime.now().strftime("%Y%m%d-%H%M%S"), args.output.rstrip("/")
+    # One pass over the files; report and quarantine are split from what it wrote.
+    written = f"{output}/rows_{run}"
+    directory_rows(spark, args.dataset, formats).write.parquet(written)
+    rows, failed = split_rows(spark.read.parquet(written))
+    failed.write.json(f"{output}/quarantine_{run}")
+    return write_report(rows, output, run)
 
 
 if __name__ == "__main__":

@@ -54,11 +54,19 @@ class Plugin:
     healed: bool = False
 
 
-def isolated(detect: Callable[[str], list[tuple[str, str, int | None]]], detector: str) -> Callable[[Column], Column]:
+#: The category of the record that a failing plug-in leaves.
+FAILURE = "detector_failure"
+
+
+def isolated(
+    detect: Callable[[str], list[tuple[str, str, int | None]]], detector: str, record: bool = False
+) -> Callable[[Column], Column]:
     """A plug-in UDF around ``text -> [(category, value, line)]``.
 
     A text on which ``detect`` raises yields no matches from this detector and
-    leaves those of every other detector in place.
+    leaves those of every other detector in place. With ``record`` it yields
+    one match of category ``detector_failure`` whose value is the error's
+    kind, for ``detector_failures`` to count.
     """
 
     @F.pandas_udf(MATCHES)
@@ -68,8 +76,9 @@ def isolated(detect: Callable[[str], list[tuple[str, str, int | None]]], detecto
                 return [
                     {"category": c, "detector": detector, "value": v, "line": n} for c, v, n in detect(text or "")
                 ]
-            except Exception:
-                return []
+            except Exception as problem:
+                failure = {"category": FAILURE, "detector": detector, "value": type(problem).__name__, "line": None}
+                return [failure] if record else []
 
         return texts.map(one)
 
@@ -194,6 +203,12 @@ def explode_matches(df: DataFrame, matches: str = "matches") -> DataFrame:
     )
 
 
+def detector_failures(df: DataFrame, matches: str = "matches") -> DataFrame:
+    """(detector, error, texts): on how many texts a recorded plug-in failed, by the error's kind."""
+    failed = explode_matches(df, matches).where(F.col("category") == FAILURE)
+    return failed.groupBy("detector", F.col("value").alias("error")).agg(F.count("*").alias("texts"))
+
+
 def dedup_split(matches: Column) -> tuple[Column, list[tuple[str, Column]]]:
     """Matches that pass unchanged, and the values of each merged category."""
 

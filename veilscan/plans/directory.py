@@ -9,25 +9,45 @@ from pyspark.sql import functions as F
 
 from veilscan.operators.dedup import content_hash, first_of_copies
 from veilscan.plans.scan import report_columns, scan
-from veilscan.sources.files import extract_text, file_scan, format_route
+from veilscan.sources.files import extract_text, file_scan, format_route, with_status
 
 
-def directory_report(
+def directory_rows(
     spark: SparkSession, root: str, formats: Iterable[str] | None = None, extractors: dict | None = None, **options
-) -> tuple[DataFrame, DataFrame]:
-    """(report rows, quarantine) of the files under ``root``.
+) -> DataFrame:
+    """(path, file_hash, status, errors, row): what became of each file under ``root``.
 
     Files of other formats are left out, later copies of the same bytes too.
-    Files that fail are in the quarantine with their errors, not in the report.
-    ``options`` go to ``scan``.
+    A file that is longer than the binary source reads fails by its length
+    alone, unread; the others go on. ``options`` go to ``scan``.
     """
-    routed = format_route(file_scan(spark, root).select("path", "content"), formats)
+    longest = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    listed = format_route(file_scan(spark, root), formats)
+    routed = listed.where(F.col("length") <= longest).select("path", "content", "file_format")
     hashed = routed.withColumn("file_hash", content_hash(F.col("content")))
     texts = extract_text(hashed, extractors=extractors)
     scanned = scan(texts, key="path", **options)
     rows = first_of_copies(
         scanned.select("path", "file_hash", "status", "errors", F.struct(*report_columns("path")).alias("row"))
     )
+    too_long = listed.where(F.col("length") > longest).select("path", "length")
+    error = F.concat(F.lit("file too large: "), F.col("length"), F.lit(" bytes"))
+    failed = with_status(too_long, F.lit(None).cast("string"), error)
+    return rows.unionByName(failed.select("path", "status", "errors"), allowMissingColumns=True)
+
+
+def split_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(report rows, quarantine) of ``directory_rows``."""
     done = rows.where(F.col("status") == "done").select("row.*")
-    failed = rows.where(F.col("status") == "failed").select("path", "status", "errors")
-    return done, failed
+    return done, rows.where(F.col("status") == "failed").select("path", "status", "errors")
+
+
+def directory_report(
+    spark: SparkSession, root: str, formats: Iterable[str] | None = None, extractors: dict | None = None, **options
+) -> tuple[DataFrame, DataFrame]:
+    """(report rows, quarantine) of the files under ``root``.
+
+    Both come from one plan; to write both, write ``directory_rows`` once and
+    split what is read back, as the command line does.
+    """
+    return split_rows(directory_rows(spark, root, formats, extractors, **options))

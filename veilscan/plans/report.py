@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 REPORT_COLUMNS = (
     "batch_id", "file_path", "categories", "total_matches", "protection_level", "file_format", "recommendations",
@@ -12,25 +13,26 @@ REPORT_COLUMNS = (
 def write_report(rows: DataFrame, output_dir: str, run_id: str, fmt: str = "csv", single_file: bool = False) -> str | None:
     """Write report rows under ``output_dir/reports_<run_id>``; None if there are none.
 
-    The rows are kept while they are checked and written, so the scan behind
-    them runs once. ``single_file`` is for reports known to be small.
-    ``parquet`` reports are partitioned by protection level.
+    The rows are counted while they are written, so the scan behind them runs
+    once and nothing is kept; an empty folder is removed. ``single_file`` is
+    for reports known to be small. ``parquet`` reports are partitioned by
+    protection level.
     """
-    rows = rows.select(*REPORT_COLUMNS).persist()
-    try:
-        if rows.isEmpty():
-            return None
-        path = f"{output_dir.rstrip('/')}/reports_{run_id}"
-        out = rows.coalesce(1) if single_file else rows
-        if fmt == "csv":
-            out.write.option("header", True).option("escape", '"').csv(path)
-        elif fmt == "parquet":
-            out.write.partitionBy("protection_level").parquet(path)
-        else:
-            raise ValueError(f"unknown report format: {fmt!r}")
+    if fmt not in ("csv", "parquet"):
+        raise ValueError(f"unknown report format: {fmt!r}")
+    count, path = Observation(), f"{output_dir.rstrip('/')}/reports_{run_id}"
+    rows = rows.select(*REPORT_COLUMNS).observe(count, F.count(F.lit(1)).alias("n"))
+    out = rows.coalesce(1) if single_file else rows
+    if fmt == "csv":
+        out.write.option("header", True).option("escape", '"').csv(path)
+    else:
+        out.write.partitionBy("protection_level").parquet(path)
+    if count.get.get("n"):
         return path
-    finally:
-        rows.unpersist()
+    context = rows.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    return None
 
 
 def write_matches(matches: DataFrame, path: str) -> str:
