@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     link are not in the result.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "id"))
+    labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "id")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, labels["id"] == near["a"]).select("id", "component", F.least("component", "near").alias("low"))

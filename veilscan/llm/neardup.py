@@ -7,15 +7,12 @@ and a process ends as soon as its arrivals come too late for any register. Two
 texts agree in a register with their probability Jaccard similarity. Bands of
 registers give candidates, which are verified by the exact similarity.
 
-Candidates are never all pairs of a bucket: each bucket's texts are compared with
-one centre. Of buckets that then still hold several groups, texts whose shingles are
-too rare for any partner leave; the most typical text is the next centre, and the last
-few pairs are compared one by one. Nothing similar is lost by this:
-
-* With p the share of x's weight on shingles it has in common with y, and q that of
-  y, the similarity is at most 1 / (1/p + 1/q - 1).
-* 1 - similarity is a metric, so texts at very different distances from a centre
-  can't be similar.
+Candidates are never emitted as pairs: each bucket's texts are compared with one
+centre, which settles most buckets. Texts of buckets that then still hold several
+groups are gathered into clusters, and a cluster is compared block by block. With p
+the share of x's weight on shingles it has in common with y, and q that of y, the
+similarity is at most 1 / (1/p + 1/q - 1), and just that if no shingle repeats; two
+matrix products give it for all pairs of two blocks, and only what passes is measured.
 """
 
 from __future__ import annotations
@@ -25,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm.common import chunks, cut, mix, span_hashes, words
@@ -98,10 +95,7 @@ def similarity(x: np.ndarray, x_weight: np.ndarray, y: np.ndarray, y_weight: np.
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``(id, text)`` to a digest of the words, ``same``, a hash for each band, ``buckets``, and the shingles' measures.
-
-    ``total`` is the weight of all shingles, ``heaviest`` that of the most frequent one.
-    """
+    """``(id, text)`` to ``(id, same, buckets)``: a digest of the words, and a hash for each band."""
     kind = docs.schema["id"].dataType.simpleString()
     registers = BANDS * BAND_REGISTERS
 
@@ -119,16 +113,10 @@ def signed(docs: DataFrame) -> DataFrame:
             lengths = np.where(counts > 0, BANDS, 0)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             flat = pa.array(bucket[counts > 0].reshape(-1).view(np.int64))
-            total = np.bincount(owner, weight, batch.num_rows).astype(np.int64)
-            heaviest = np.zeros(batch.num_rows, np.int64)
-            np.maximum.at(heaviest, owner, weight)
             columns = [batch.column("id"), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(total), pa.array(heaviest)], ["id", "same", "buckets", "total", "heaviest"]
-            )
+            yield pa.RecordBatch.from_arrays(columns, ["id", "same", "buckets"])
 
-    schema = f"id {kind}, same binary, buckets array<bigint>, total long, heaviest long"
-    return docs.select("id", "text").mapInArrow(sign, schema)
+    return docs.select("id", "text").mapInArrow(sign, f"id {kind}, same binary, buckets array<bigint>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -161,44 +149,12 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return wide.mapInArrow(verify, f"a {kind}, b {kind}, similarity double")
 
 
-def shared_parts(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """How much of each text lies on shingles that another of ``texts`` has too.
-
-    ``(id, part, common, reach)``: the share of its weight, the number of such
-    shingles, and its weight in units of its heaviest shingle.
-    """
-    kind = texts.schema["id"].dataType.simpleString()
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=1 << 20):
-            owner, shingle, weight, _ = shingles(batch.column("text"))
-            columns = [batch.column("id").take(pa.array(owner)), pa.array(shingle.view(np.int64)), pa.array(weight)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "shingle", "weight"])
-
-    rows = texts.mapInArrow(listed, f"id {kind}, shingle long, weight long")
-    seen = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight"))
-    own = seen.where("n = 1").groupBy("id").agg(F.sum("weight").alias("_own"))
-    return (
-        texts.select("id")
-        .join(classes.select("id", "total", "heaviest"), "id")
-        .join(own, "id", "left")
-        .select("id", (F.col("total") - F.coalesce("_own", F.lit(0))).alias("common"), "total", "heaviest")
-        .select("id", (F.col("common") / F.col("total")).alias("part"), "common", (F.col("total") / F.col("heaviest")).alias("reach"))
-    )
-
-
-def _possible(p: Column, q: Column, least: float) -> Column:
-    """Whether shares ``p`` and ``q`` allow the similarity."""
-    return 1 / p + 1 / q - 1 <= 1 / least + 1e-9
-
-
 def near_links(classes: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
     """Links (a, b) between classes that lead wherever candidates of ``least`` similarity lead.
 
     Two texts that share a bucket end up in one component if they are similar
     enough; the links are those that were needed to see so. ``classes`` is
-    (id, buckets, total, heaviest), ``docs`` (id, text); none come back if no
-    bucket has two texts.
+    (id, buckets), ``docs`` (id, text); none come back if no bucket has two texts.
     """
     buckets = classes.select("id", F.explode("buckets").alias("bucket"))
     centres = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("_last")).where("centre < _last")
@@ -206,52 +162,87 @@ def near_links(classes: DataFrame, docs: DataFrame, least: float = SIMILARITY) -
     if members.isEmpty():
         return None
     texts = cut(docs.select("id", "text").join(members.select("id").distinct(), "id").dropDuplicates(["id"]))
-    links, parts = None, None
-    while True:
-        pairs = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-        measured = cut(compared(pairs, texts))
-        close = measured.where(F.col("similarity") >= least).select("a", "b")
-        links = close if links is None else cut(links.union(close))
-        # What is left of a bucket without its centre, if it still holds several groups.
-        distance = measured.select(F.col("a").alias("centre"), F.col("b").alias("id"), "similarity")
-        scored = (
-            members.where("id <> centre")
-            .join(distance, ["centre", "id"])
-            .join(components(links), "id", "left")
-            .select("bucket", "id", "similarity", F.coalesce("component", "id").alias("component"))
-        )
-        members = cut(_mixed(scored))
-        if members.isEmpty():
-            return links
-        if parts is None:
-            parts = cut(shared_parts(texts.join(members.select("id").distinct(), "id", "left_semi"), classes))
-        bounds = members.join(parts, "id")
-        edges = bounds.groupBy("bucket").agg(F.max("part").alias("_most"), F.min("reach").alias("_least"))
-        best = F.least("_most", F.col("common") / F.col("_least"))
-        possible = bounds.join(edges, "bucket").where((F.col("common") > 0) & _possible(F.col("part"), best, least))
-        members = cut(_mixed(possible.drop("_most", "_least")))
-        sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        square = F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))
-        left_over = sizes.groupBy("bucket").agg(square.alias("twice"), F.sum("n").alias("n")).agg(F.sum("twice"), F.sum("n")).first()
-        if left_over[0] is None:
-            return links
-        if left_over[0] <= 8 * left_over[1]:
-            break
-        typical = members.groupBy("bucket").agg(F.max_by("id", F.struct("part", F.xxhash64("id"))).alias("centre"))
-        members = cut(members.select("bucket", "id").join(typical, "bucket"))
-    one, two = (members.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in members.columns if c != "bucket"]) for s in "ab")
-    p = F.least("part_a", F.col("common_b") / F.col("reach_a"))
-    q = F.least("part_b", F.col("common_a") / F.col("reach_b"))
-    near = F.abs(F.col("similarity_a") - F.col("similarity_b")) <= 1 - least + 1e-9
-    rest = one.join(two, "bucket").where((F.col("component_a") < F.col("component_b")) & near & _possible(p, q, least))
-    measured = compared(rest.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), texts)
-    return cut(links.union(measured.where(F.col("similarity") >= least).select("a", "b")))
-
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component."""
-    several = members.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    return members.join(several.where("_low < _high").select("bucket"), "bucket")
+    others = members.where("id <> centre")
+    pairs = others.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    links = cut(compared(pairs, texts).where(F.col("similarity") >= least).select("a", "b"))
+    labels = cut(components(links))
+    # Buckets that, without their centre, still hold several groups.
+    labelled = others.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    ends = labelled.groupBy("bucket").agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"), F.min("id").alias("first")
+    )
+    mixed = cut(labelled.join(ends.where("_low < _high"), "bucket").select("id", "component", "first").distinct())
+    if mixed.isEmpty():
+        return links
+    clusters = components(mixed.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    rest = mixed.select("id", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id")
+    return cut(links.union(block_links(rest.join(texts, "id"), least)))
+
+
+def block_links(members: DataFrame, least: float, rows: int = 256, size: int = 1 << 20) -> DataFrame:
+    """Links (a, b) within clusters, between texts of different components.
+
+    ``members`` is (id, component, cluster, text), one row for each id. Every
+    cluster is dealt into blocks of about ``rows`` texts and ``size`` bytes, and
+    each pair of blocks is one task's work, however large the cluster.
+    """
+    kind = members.schema["id"].dataType.simpleString()
+    members = cut(members)
+    extent = members.groupBy("cluster").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / rows, F.sum(F.octet_length("text")) / size)).cast("int").alias("_blocks")
+    )
+    dealt = members.join(extent, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    paired = dealt.select(
+        "cluster", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "id", "component", "text"
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, component, block = (group.column(c).to_numpy() for c in ("id", "component", "block"))
+        owner, shingle, weight, _ = shingles(group.column("text").combine_chunks())
+        found = _close_pairs(owner, shingle, weight, component, block, least)
+        return pa.table({"a": group.column("id").take(found[:, 0]), "b": group.column("id").take(found[:, 1])})
+
+    return paired.groupBy("cluster", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _close_pairs(owner, shingle, weight, component, block, least: float) -> np.ndarray:
+    """Pairs of rows of different components that are similar, enough of them to join all that are."""
+    count, total = len(component), np.bincount(owner, weight, len(component))
+    one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    kinds, place, seen = np.unique(shingle, return_inverse=True, return_counts=True)
+    shared = seen[place] > 1
+    rows, columns, weights = owner[shared], np.unique(place[shared], return_inverse=True)[1], weight[shared]
+    p, q = np.zeros((len(one), len(two)), np.float32), np.zeros((len(one), len(two)), np.float32)
+    step = 8192
+    for low in range(0, int(columns.max(initial=-1)) + 1, step):
+        here = (columns >= low) & (columns < low + step)
+        weighted = np.zeros((count, step), np.float32)
+        weighted[rows[here], columns[here] - low] = weights[here]
+        present = (weighted > 0).astype(np.float32)
+        p += weighted[one] @ present[two].T
+        q += present[one] @ weighted[two].T
+    p, q = p / np.maximum(total[one], 1)[:, None], q / np.maximum(total[two], 1)[None]
+    bound = np.where((p > 0) & (q > 0), 1 / (1 / np.maximum(p, 1e-9) + 1 / np.maximum(q, 1e-9) - 1), 0)
+    bound[component[one][:, None] == component[two][None]] = 0
+    i, j = np.nonzero(bound >= least - 1e-4)
+    best = np.argsort(-bound[i, j])
+    starts, parent = np.searchsorted(owner, np.arange(count + 1)), {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    found = []
+    for a, b in zip(one[i[best]], two[j[best]], strict=True):
+        x, y = root(component[a]), root(component[b])
+        if x != y:
+            sides = [slice(starts[k], starts[k + 1]) for k in (a, b)]
+            if similarity(shingle[sides[0]], weight[sides[0]], shingle[sides[1]], weight[sides[1]]) >= least:
+                found.append((a, b))
+                parent[x] = y
+    return np.array(found, np.int64).reshape(-1, 2)
 
 
 def near_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -269,7 +260,7 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     classes = cut(
         prints.where(with_words)
         .groupBy("same")
-        .agg(F.min("id").alias("class_id"), *[F.first(c).alias(c) for c in ("buckets", "total", "heaviest")])
+        .agg(F.min("id").alias("class_id"), F.first("buckets").alias("buckets"))
     )
     links = near_links(classes.withColumnRenamed("class_id", "id").drop("same"), docs, least)
     named = classes.select("same", "class_id")
