@@ -162,16 +162,30 @@ def near_links(classes: DataFrame, docs: DataFrame, least: float = SIMILARITY) -
     if members.isEmpty():
         return None
     texts = cut(docs.select("id", "text").join(members.select("id").distinct(), "id").dropDuplicates(["id"]))
-    others = members.where("id <> centre")
-    pairs = others.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(compared(pairs, texts).where(F.col("similarity") >= least).select("a", "b"))
-    labels = cut(components(links))
-    # Buckets that, without their centre, still hold several groups.
-    labelled = others.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    # One centre for each text, so that there are no more pairs than texts.
+    chosen = cut(members.where("id <> centre").groupBy("id").agg(F.min("centre").alias("chosen")))
+    links = compared(chosen.select(F.col("chosen").alias("a"), F.col("id").alias("b")), texts)
+    links = cut(links.where(F.col("similarity") >= least).select("a", "b"))
+    labels = components(links)
+    # Buckets that still hold several groups; their centre is left out where it was the choice of all.
+    labelled = (
+        members.join(chosen, "id", "left")
+        .join(labels, "id", "left")
+        .select("bucket", "id", "centre", "chosen", F.coalesce("component", "id").alias("component"))
+    )
+    other = F.col("id") != F.col("centre")
     ends = labelled.groupBy("bucket").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high"), F.min("id").alias("first")
+        F.bool_and(~other | (F.col("chosen") == F.col("centre"))).alias("_settled"),
+        F.min("component").alias("_low"),
+        F.max("component").alias("_high"),
+        F.min(F.when(other, F.col("component"))).alias("_low_other"),
+        F.max(F.when(other, F.col("component"))).alias("_high_other"),
+        F.min(F.when(other, F.col("id"))).alias("_first_other"),
     )
-    mixed = cut(labelled.join(ends.where("_low < _high"), "bucket").select("id", "component", "first").distinct())
+    several = F.when(F.col("_settled"), F.col("_low_other") < F.col("_high_other")).otherwise(F.col("_low") < F.col("_high"))
+    first = F.when(F.col("_settled"), F.col("_first_other")).otherwise(F.col("centre")).alias("first")
+    mixed = labelled.join(ends.where(several), "bucket").where(other | ~F.col("_settled"))
+    mixed = cut(mixed.select("id", "component", first).distinct())
     if mixed.isEmpty():
         return links
     clusters = components(mixed.select(F.col("first").alias("a"), F.col("id").alias("b")))
