@@ -183,9 +183,10 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
 
     def run(**options):
+        options = options or {"forever": True}
         stream = spark.readStream.schema(schema).parquet(source)
         verdicts = stream_content_dedup(stream, **options).select("id", "markup.categories")
-        suffix = "w" if options else ""
+        suffix = "w" if "within" in options else ""
         start_table_sink(verdicts, out + suffix, mark + suffix, available_now=True).awaitTermination()
         return spark.read.parquet(out + suffix).collect()
 

@@ -325,7 +325,8 @@ _FIRST = "qualify row_number() over (partition by sha256(text) order by string_s
 
 @query("content_dedup", f"select path, sha256(text) as file_hash from ({fx.DOCS}) {_FIRST}")
 def content_dedup(spark, sf):
-    return dedup.content_dedup(fx.docs(spark, sf), content="text").select("path", "file_hash")
+    hashed = fx.docs(spark, sf).select("path", dedup.content_hash(F.col("text")).alias("file_hash"))
+    return dedup.first_of_copies(hashed)
 
 
 @query(
@@ -336,10 +337,9 @@ def content_dedup(spark, sf):
 def stream_dedup(spark, sf):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    # A streaming file source cannot tell its splits ahead, so it is spread here.
-    stream = stream.select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+    stream = stream.select("doc_id", "text")
     folder = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    verdicts = stream_content_dedup(stream).select(
+    verdicts = stream_content_dedup(stream, forever=True).select(
         "file_hash",
         F.array_join("markup.categories", ", ").alias("categories"),
         F.size("markup.matches").cast("bigint").alias("total_matches"),

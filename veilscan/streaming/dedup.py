@@ -11,18 +11,25 @@ from veilscan.plans.scan import scan
 
 
 def stream_content_dedup(
-    stream: DataFrame, text: str = "text", event_time: str | None = None, within: str | None = None
+    stream: DataFrame,
+    text: str = "text",
+    event_time: str | None = None,
+    within: str | None = None,
+    forever: bool = False,
 ) -> DataFrame:
     """Drop documents whose content was seen before, and scan the rest.
 
     The scan is narrow and comes first, so the shuffle to the state store
-    carries hashes and verdicts instead of texts. Without ``within`` every
-    hash is remembered (use the RocksDB state store for that); with
-    ``event_time`` and ``within`` hashes are forgotten after that delay.
+    carries hashes and verdicts instead of texts. With ``event_time`` and
+    ``within`` hashes are forgotten after that delay. State without a bound
+    has to be asked for: ``forever`` remembers every hash (use the RocksDB
+    state store for that).
     """
+    if (within is None or event_time is None) and not forever:
+        raise ValueError("give event_time and within, or ask for state without a bound by forever=True")
     hashed = stream.withColumn("file_hash", content_hash(F.col(text)))
     scanned = scan(hashed, text, key="file_hash")
-    if within is None:
+    if forever:
         return scanned.dropDuplicates(["file_hash"])
     return scanned.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["file_hash"])
 
