@@ -232,6 +232,14 @@ def test_places_that_overlap(spark):
     ]
 
 
+def test_csv_content(spark):
+    from veilscan.sources.files import csv_text
+
+    rows = [(b'a,b\n"x, ""y""\nz",1\n', 'a b\nx, "y"\nz 1\n'), ("имя,№\n".encode("cp1251"), "имя №\n"), (b"", ""), (None, None)]
+    frame = spark.createDataFrame(rows, "c binary, want string").select(csv_text(F.col("c")).alias("got"), "want")
+    assert all(r.got == r.want for r in frame.collect())
+
+
 def test_a_file_beyond_the_limit_fails_alone(spark, tmp_path):
     for name, size in (("small", 10), ("large", 5_000)):
         (tmp_path / f"{name}.html").write_text("<p>a@b.ru</p>" + "x" * size)

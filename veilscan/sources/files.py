@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilscan.functions.text import file_format, format_key
 from veilscan.sources.encoding import binary_text_salvage, text_decode
-from veilscan.sources.markup import html_text, json_parse
+from veilscan.sources.markup import TEXT_OR_ERROR, html_text, json_parse
 
 # The formats routed by default, and those a text can be named for.
 DEFAULT_FORMATS = (
@@ -31,6 +31,9 @@ KNOWN_FORMATS = (
 )
 
 
+_QUOTED = '(?s)"((?:[^"]|"")*)"'
+
+
 def file_scan(spark: SparkSession, root: str) -> DataFrame:
     """All files under ``root``: path, modificationTime, length, content.
 
@@ -46,35 +49,42 @@ def format_route(df: DataFrame, formats: Iterable[str] | None = None, path: str
     return df.withColumn("file_format", file_format(F.col(path))).where(F.col("file_format").isin(*allowed))
 
 
-def _flatten(frame: pd.DataFrame) -> str:
-    return frame.fillna("").to_csv(index=False, sep=" ", na_rep="")
-
-
-def _csv_text(content: bytes) -> str:
-    for encoding in ("utf-8-sig", "utf-8", "cp1251", "latin-1"):
-        try:
-            return _flatten(pd.read_csv(io.BytesIO(content), dtype=str, encoding=encoding, on_bad_lines="skip"))
-        except ValueError:
-            continue
-    return ""
+def csv_text(content: Column) -> Column:
+    """A CSV file's text with fields a space apart: commas in quotes stay, the quotes go."""
+    text = text_decode(content)
+    outside = F.split(text, _QUOTED, -1)
+    inside = F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(1))
+    joined = F.zip_with(
+        outside,
+        inside,
+        lambda plain, field: F.concat(F.translate(plain, ",", " "), F.coalesce(F.replace(field, F.lit('""'), F.lit('"')), F.lit(""))),
+    )
+    return F.when(F.contains(text, F.lit('"')), F.array_join(joined, "")).otherwise(F.translate(text, ",", " "))
 
 
-def _parquet_text(content: bytes) -> str:
-    return _flatten(pd.read_parquet(io.BytesIO(content)).astype(str))
+def _row_lines(content: bytes) -> str:
+    """The header and each row of a Parquet file as a line."""
+    table = pq.read_table(pa.BufferReader(content))
+    lines = [" ".join(table.column_names)]
+    for batch in table.to_batches():
+        lines += [" ".join("" if v is None else str(v) for v in row.values()) for row in batch.to_pylist()]
+    return "\n".join(lines)
 
 
-def _table_text(flatten: Callable[[bytes], str]) -> Callable[[Column], Column]:
-    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
-    def run(contents: pd.Series) -> pd.DataFrame:
-        rows = []
-        for content in contents:
+@F.pandas_udf(TEXT_OR_ERROR)
+def parquet_text(contents: pd.Series) -> pd.DataFrame:
+    """(text, error) of Parquet files whose bytes are one cell each."""
+    texts, errors = [], []
+    for content in contents:
+        text, error = None, None
+        if content is not None:
             try:
-                rows.append((None if content is None else flatten(bytes(content)), None))
-            except Exception as problem:
-                rows.append((None, str(problem)))
-        return pd.DataFrame(rows, columns=["text", "error"])
-
-    return run
+                text = _row_lines(bytes(content))
+            except (pa.ArrowException, OSError) as problem:
+                error = str(problem)
+        texts.append(text)
+        errors.append(error)
+    return pd.DataFrame({"text": texts, "error": errors})
 
 
 def _plain(text: Column) -> Column:
@@ -89,8 +99,8 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {
     "html": lambda content: _plain(html_text(text_decode(content))),
     "doc": lambda content: _plain(binary_text_salvage(content)),
     "json": json_parse,
-    "csv": _table_text(_csv_text),
-    "parquet": _table_text(_parquet_text),
+    "csv": lambda content: _plain(csv_text(content)),
+    "parquet": parquet_text,
 }
 
 

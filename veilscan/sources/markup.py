@@ -77,12 +77,12 @@ def html_text(html: Column) -> Column:
     return F.array_join(F.filter(nodes, lambda n: n != ""), " ")
 
 
-JSON_RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+TEXT_OR_ERROR = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
 
 # A pandas UDF on purpose: Spark folds a chain of UDFs of one kind into one plan
 # node and repeats every expression between them; merging uses an Arrow UDF.
-@F.pandas_udf(JSON_RESULT)
+@F.pandas_udf(TEXT_OR_ERROR)
 def json_parse(documents: pd.Series) -> pd.DataFrame:
     """(text, error): the document (text or bytes) on one line without ASCII escapes.
 
