@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veilscan.session import work_dir
 
 #: Bytes of text that a Python function works on at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from veilscan.llm.common import chunks, code_points, mix, span_hashes, utf8, worker_state
 
 #: Distinct words whose encodings a worker remembers; then it begins anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
+#: Pairs of tokens that a worker remembers.
+REMEMBERED_PAIRS = 250_000
 
 # Kinds of characters that the word pattern tells apart.
 _OTHER, _LETTER, _NUMBER, _BLANK = range(4)
@@ -85,7 +87,8 @@ class TrieEncoder:
         self.contents = vocabulary.contents
         self.merges = vocabulary.merges
         self.longest = vocabulary.longest
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.width = max(self.contents) + 1
+        self.follows: dict[int, bool] = {}
         ends: dict[bytes, set[int]] = {}
         for token in self.ids:
             for n in range(2, min(len(token), 4) + 1):
@@ -110,9 +113,11 @@ class TrieEncoder:
 
     def may_follow(self, before: int, token: int) -> bool:
         """Whether the two tokens' bytes on end are encoded as just these two."""
-        pair = (before, token)
+        pair = before * self.width + token
         known = self.follows.get(pair)
         if known is None:
+            if len(self.follows) >= REMEMBERED_PAIRS:
+                self.follows.clear()
             known = self.merged(self.contents[before] + self.contents[token]) == [before, token]
             self.follows[pair] = known
         return known
@@ -123,7 +128,7 @@ class TrieEncoder:
         ``last[d]`` is the last token of the encoding of the first ``d`` bytes
         of the path; a word takes over what it shares with the word before it.
         """
-        ids, lengths, follows, may_follow = self.ids, self.lengths, self.follows, self.may_follow
+        ids, lengths, follows, may_follow, width = self.ids, self.lengths, self.follows, self.may_follow, self.width
         last: list[int] = [-1]
         sizes: list[int] = [0]
         out, before = {}, b""
@@ -146,13 +151,13 @@ class TrieEncoder:
                         continue
                     if size == depth:
                         # A token that is a whole prefix is its encoding, if merges lead there.
-                        pair = (-1, token)
+                        pair = -1 - token
                         ok = follows.get(pair)
                         if ok is None:
                             ok = follows[pair] = self.merged(word[:depth]) == [token]
                     else:
                         prior = last[depth - size]
-                        ok = follows.get((prior, token))
+                        ok = follows.get(prior * width + token)
                         if ok is None:
                             ok = may_follow(prior, token)
                     if ok:
