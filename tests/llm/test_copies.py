@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -121,6 +122,23 @@ def test_near_groups_against_all_pairs(spark, frame, nothing):
     assert twice.count() == 30 and twice.where("group_id <> id").count() == 4
 
 
+@pytest.mark.parametrize("shared, every", [(12, 15), (48, 60), (52, 65), (60, 75), (64, 80)])
+def test_a_similarity_of_just_the_limit_is_near(spark, shared, every):
+    """Texts that begin a longer one, at exactly 0.8, and one shingle short of it."""
+    words = [f"e{i}" for i in range(every + 4)]
+    x, y, below = " ".join(words), " ".join(words[: shared + 4]), " ".join(words[: shared + 3])
+    have = pa.array([x, y])
+    owner, shingle, weight, _ = neardup.shingles(have)
+    assert list(weight) == [1] * (shared + every) and 5 * shared == 4 * every
+    docs = spark.createDataFrame([(1, x), (2, y)], "id long, text string")
+    assert [r.group_id for r in neardup.near_groups(docs).collect()] == [1, 1]
+    docs = spark.createDataFrame([(1, x), (2, below)], "id long, text string")
+    assert sorted(r.group_id for r in neardup.near_groups(docs).collect()) == [1, 2]
+    # The comparison by blocks has its own limit.
+    side = np.array([0, 1])
+    assert len(neardup._close_pairs(owner, shingle, weight, side, side, 0.8)) == 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 102), (102, 101), (7, 7)]
     found = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())

@@ -30,6 +30,8 @@ from veilscan.llm.components import components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: A similarity is a sum of floats, which may end just below its exact value.
+ROUNDING = 1e-9
 BANDS, BAND_REGISTERS = 24, 5
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -165,7 +167,7 @@ def near_links(classes: DataFrame, docs: DataFrame, least: float = SIMILARITY) -
     # One centre for each text, so that there are no more pairs than texts.
     chosen = cut(members.where("id <> centre").groupBy("id").agg(F.min("centre").alias("chosen")))
     links = compared(chosen.select(F.col("chosen").alias("a"), F.col("id").alias("b")), texts)
-    links = cut(links.where(F.col("similarity") >= least).select("a", "b"))
+    links = cut(links.where(F.col("similarity") >= least - ROUNDING).select("a", "b"))
     labels = components(links)
     # Buckets that still hold several groups; their centre is left out where it was the choice of all.
     labelled = (
@@ -253,7 +255,7 @@ def _close_pairs(owner, shingle, weight, component, block, least: float) -> np.n
         x, y = root(component[a]), root(component[b])
         if x != y:
             sides = [slice(starts[k], starts[k + 1]) for k in (a, b)]
-            if similarity(shingle[sides[0]], weight[sides[0]], shingle[sides[1]], weight[sides[1]]) >= least:
+            if similarity(shingle[sides[0]], weight[sides[0]], shingle[sides[1]], weight[sides[1]]) >= least - ROUNDING:
                 found.append((a, b))
                 parent[x] = y
     return np.array(found, np.int64).reshape(-1, 2)
