@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 from oracle_check import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veilscan.llm import licences, neighbours, sharding
@@ -140,3 +141,20 @@ def test_pipeline(spark, tmp_path):
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_drops_unlearned_languages_and_letter_junk(spark):
+    """A language that no label names, and random letters, go; held-back documents of the learned ones stay."""
+    docs = spark.read.parquet(SF.replace("0.001", "0.1") + "/documents.parquet").where("lang is not null and text is not null")
+    some = docs.where("lang in ('de', 'en', 'es')")
+    foreign = docs.where("lang = 'fr' and length(text) >= 400").limit(200).withColumn("lang", F.lit(None).cast("string"))
+    rng = random.Random(8)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)) for _ in range(200)]
+    junk = spark.createDataFrame([(10**9 + i, t, None, None, len(t)) for i, t in enumerate(junk)], docs.schema)
+    before = {"own": some, "foreign": foreign, "junk": junk}
+    tagged = [d.withColumn("source", F.lit(name)) for name, d in before.items()]
+    after = corpus_pipeline.known_language(spark, tagged[0].union(tagged[1]).union(tagged[2]), SF)
+    left = {r["source"]: r["count"] for r in after.groupBy("source").count().collect()}
+    share = {name: left.get(name, 0) / d.count() for name, d in before.items()}
+    print(share)
+    assert share["own"] >= 0.99 and share["foreign"] <= 0.1 and share["junk"] <= 0.01

@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm.common import chunks, code_points, worker_state
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
+LONGEST = 8
 _SPACE = 32
 
 
@@ -176,3 +177,41 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: tuple[
 
     names = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("id", *carry))
     return docs.select("id", *carry, "text").mapInArrow(nearest, f"{names}, lang_pred string, score double")
+
+
+def letter_class(text: Column) -> Column:
+    """Texts of 2^k to 2^(k+1) letters are class k; from 2^``LONGEST`` letters on all are of one class."""
+    letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
+    return F.least(F.floor(F.log2(F.greatest(letters, F.lit(1)))), F.lit(LONGEST)).cast("int")
+
+
+def held_out() -> Column:
+    """A fifth of the rows, by a hash of ``id``, for limits: ``fit`` must not see them."""
+    return F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(5)) == 0
+
+
+def limits(held: DataFrame, model: tuple[list[str], np.ndarray], per_language: int = 1000, lost: float = 0.005, least: int = 50) -> DataFrame:
+    """``(lang_pred, letters, limit)``: the cosine that all but ``lost`` of a language's texts of that length reach.
+
+    ``held`` is ``(id, text, lang)`` that the model has not seen; about
+    ``per_language`` texts of each language count, and of those the ones whose
+    language is recognised. Lengths of fewer than ``least`` texts are measured
+    by longer texts cut to them, and have no limit if these are as few.
+    """
+    held = held.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    share = held.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("_share"))
+    draw = F.pmod(F.xxhash64("id", F.lit("limit")), F.lit(1 << 30)) / float(1 << 30)
+    some = held.join(F.broadcast(share), "lang").where(draw < F.col("_share"))
+    ends = F.filter(F.array(*(F.lit(3 << k) for k in range(LONGEST))), lambda n: n < F.length("text"))
+    texts = F.transform(F.concat(F.array(F.lit(0)), ends), lambda n: F.struct((n == 0).alias("whole"), F.when(n == 0, F.col("text")).otherwise(F.substring("text", F.lit(1), n)).alias("text")))
+    pieces = some.select("id", "lang", F.explode(texts).alias("_p")).select("id", "lang", "_p.*")
+    pieces = pieces.withColumn("letters", letter_class(F.col("text")))
+    right = identify(pieces, model, carry=("lang", "letters", "whole")).where("lang = lang_pred")
+    found = right.groupBy("lang_pred", "letters").agg(
+        F.percentile(F.when(F.col("whole"), F.col("score")), lost).alias("own"),
+        F.percentile("score", lost).alias("any"),
+        F.count_if("whole").alias("n"),
+        F.count(F.lit(1)).alias("m"),
+    )
+    limit = F.when(F.col("n") >= least, F.col("own")).when(F.col("m") >= least, F.col("any"))
+    return found.select("lang_pred", "letters", limit.alias("limit"))
