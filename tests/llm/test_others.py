@@ -158,3 +158,36 @@ def test_pipeline_drops_unlearned_languages_and_letter_junk(spark):
     share = {name: left.get(name, 0) / d.count() for name, d in before.items()}
     print(share)
     assert share["own"] >= 0.99 and share["foreign"] <= 0.1 and share["junk"] <= 0.01
+
+
+def test_pipeline_run_against_brute_force(spark, monkeypatch):
+    """``run`` on planted toxic texts, exact and near copies: what stays, and every token of it."""
+    rng = random.Random(3)
+    clean, toxic = [f"calm{i}" for i in range(60)], [f"vile{i}" for i in range(60)]
+
+    def text(words, n=60):
+        return " ".join(rng.choice(words) + " and the plain other words" for _ in range(n // 5))
+
+    rows = [(i, text(clean)) for i in range(1, 201)] + [(i, text(toxic)) for i in range(201, 301)]
+    labels = [(i, int(i > 200)) for i in range(1, 301) if i % 2]
+    rows += [(1000 + i, rows[i][1].upper()) for i in range(5)]  # copies of 1 to 5: the largest ids stay
+    long = text(clean, 300).split()
+    near = [" ".join(long), " ".join([*long[:-1], "changed"]), " ".join(["other", *long[1:]])]
+    rows += [(2000 + i, t) for i, t in enumerate(near)]  # the smallest id stays
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    tables = {"documents": docs, "labels": spark.createDataFrame(labels, "doc_id long, toxic int")}
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf, name: tables[name])
+    found = corpus_pipeline.run(spark, SF).collect()
+    wanted = ({*range(6, 201)} | {*range(1000, 1005)}) | {2000}
+    assert {r.doc_id for r in found} == wanted, (sorted(wanted - {r.doc_id for r in found})[:9], sorted({r.doc_id for r in found} - wanted)[:9])
+    places, pieces = {}, {}
+    for r in found:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+    for every, skip in ((places, 0), (pieces, 1)):
+        for parts in every.values():
+            end = 0
+            for part in sorted(parts):
+                assert part[skip] == end
+                end += part[-1]
+            assert skip or end <= 1024
