@@ -29,7 +29,3 @@ def texts_df(spark):
         return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
     return make
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,6 @@
 """Plans stay narrow; hot keys and large gazetteers change no result."""
 
-from conftest import plan_of
+from plan_text import plan_of
 from pyspark.sql import functions as F
 
 from veilscan.catalog import fixtures as fx
