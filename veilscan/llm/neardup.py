@@ -7,8 +7,9 @@ and a process ends as soon as its arrivals come too late for any register. Two
 texts agree in a register with their probability Jaccard similarity. Bands of
 registers give candidates, which are verified by the exact similarity.
 
-Candidates are never emitted as pairs: each bucket's texts are compared with one
-centre, which settles most buckets. Texts of buckets that then still hold several
+Candidates are never emitted as pairs: a text with too many shingles that no other
+candidate has is left out, the others are compared with one typical text of a bucket
+they are in, which settles most buckets. Texts of buckets that then still hold several
 groups are gathered into clusters, and a cluster is compared block by block. With p
 the share of x's weight on shingles it has in common with y, and q that of y, the
 similarity is at most 1 / (1/p + 1/q - 1), and just that if no shingle repeats; two
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm.common import chunks, cut, mix, span_hashes, words
@@ -151,6 +152,31 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return wide.mapInArrow(verify, f"a {kind}, b {kind}, similarity double")
 
 
+def lonely_share(texts: DataFrame) -> DataFrame:
+    """``(id, lonely)`` of ``(id, text)``: the share of a text's weight on shingles that no other of the texts has.
+
+    A row is there for each text with such a shingle. Only sums by shingle and
+    by text are shuffled, summed within each task first.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            owner, shingle, weight, _ = shingles(batch.column("text"))
+            share = weight / np.bincount(owner, weight, batch.num_rows)[owner]
+            columns = [batch.column("id").take(pa.array(owner)), pa.array(shingle.view(np.int64)), pa.array(share)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "shingle", "share"])
+
+    each = texts.select("id", "text").mapInArrow(shares, f"id {kind}, shingle bigint, share double")
+    owners = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("_last"), F.min("share").alias("share"))
+    return owners.where("id = _last").groupBy("id").agg(F.sum("share").alias("lonely"))
+
+
+def _may_pair(x: Column, y: Column, least: float) -> Column:
+    """Whether texts of which at least these shares are not in common can be similar enough."""
+    return 1 / (1 - x) + 1 / (1 - y) <= 1 + 1 / F.lit(least) + ROUNDING
+
+
 def near_links(classes: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
     """Links (a, b) between classes that lead wherever candidates of ``least`` similarity lead.
 
@@ -158,20 +184,32 @@ def near_links(classes: DataFrame, docs: DataFrame, least: float = SIMILARITY) -
     enough; the links are those that were needed to see so. ``classes`` is
     (id, buckets), ``docs`` (id, text); none come back if no bucket has two texts.
     """
-    buckets = classes.select("id", F.explode("buckets").alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("_last")).where("centre < _last")
-    members = cut(buckets.join(centres.drop("_last"), "bucket"))
-    if members.isEmpty():
+    crowds = classes.select("id", F.explode("buckets").alias("bucket"))
+    sizes = crowds.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowds = cut(crowds.join(sizes, "bucket"))
+    if crowds.isEmpty():
         return None
-    texts = cut(docs.select("id", "text").join(members.select("id").distinct(), "id").dropDuplicates(["id"]))
+    # The more company a text has in its buckets, the more typical it is of them.
+    typical = crowds.groupBy("id").agg((-F.sum("n")).alias("far"))
+    texts = cut(docs.select("id", "text").join(typical, "id").dropDuplicates(["id"]))
+    # A text that is too much its own can't be similar to any other.
+    alone = lonely_share(texts)
+    texts = texts.join(alone, "id", "left").withColumn("lonely", F.coalesce("lonely", F.lit(0.0)))
+    texts = cut(texts.where(F.col("lonely") <= 1 - least + ROUNDING))
+    members = cut(crowds.drop("n").join(texts.select("id", "far", "lonely"), "id"))
+    centres = members.groupBy("bucket").agg(F.min(F.struct("far", "id", "lonely")).alias("centre"), F.count(F.lit(1)).alias("_n"))
+    members = cut(members.join(centres.where("_n > 1").drop("_n"), "bucket"))
     # One centre for each text, so that there are no more pairs than texts.
-    chosen = cut(members.where("id <> centre").groupBy("id").agg(F.min("centre").alias("chosen")))
-    links = compared(chosen.select(F.col("chosen").alias("a"), F.col("id").alias("b")), texts)
+    others = members.where("id <> centre.id").groupBy("id").agg(F.min("centre").alias("chosen"), F.first("lonely").alias("lonely"))
+    chosen = cut(others.select("id", "chosen.id", "lonely", F.col("chosen.lonely").alias("_lonely")).toDF("id", "chosen", "lonely", "_lonely"))
+    pairs = chosen.where(_may_pair(F.col("lonely"), F.col("_lonely"), least))
+    links = compared(pairs.select(F.col("chosen").alias("a"), F.col("id").alias("b")), texts.select("id", "text"))
     links = cut(links.where(F.col("similarity") >= least - ROUNDING).select("a", "b"))
     labels = components(links)
     # Buckets that still hold several groups; their centre is left out where it was the choice of all.
     labelled = (
-        members.join(chosen, "id", "left")
+        members.select("bucket", "id", F.col("centre.id").alias("centre"))
+        .join(chosen.select("id", "chosen"), "id", "left")
         .join(labels, "id", "left")
         .select("bucket", "id", "centre", "chosen", F.coalesce("component", "id").alias("component"))
     )
@@ -190,25 +228,37 @@ def near_links(classes: DataFrame, docs: DataFrame, least: float = SIMILARITY) -
     mixed = cut(mixed.select("id", "component", first).distinct())
     if mixed.isEmpty():
         return links
-    clusters = components(mixed.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    # A text leads to its smallest "first", and its other ones lead there too: about one link a text.
+    lowest = mixed.groupBy("id").agg(F.min("first").alias("low"), F.collect_set("first").alias("firsts"))
+    across = lowest.select(F.col("low").alias("a"), F.explode("firsts").alias("b")).where("a <> b").distinct()
+    clusters = components(lowest.select(F.col("low").alias("a"), F.col("id").alias("b")).union(across))
     rest = mixed.select("id", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id")
-    return cut(links.union(block_links(rest.join(texts, "id"), least)))
+    return cut(links.union(block_links(rest.join(texts.select("id", "text", "lonely"), "id"), least)))
 
 
 def block_links(members: DataFrame, least: float, rows: int = 256, size: int = 1 << 20) -> DataFrame:
-    """Links (a, b) within clusters, between texts of different components.
+    """Links (a, b) within clusters, between texts of different components; one for each two components at most.
 
-    ``members`` is (id, component, cluster, text), one row for each id. Every
-    cluster is dealt into blocks of about ``rows`` texts and ``size`` bytes, and
-    each pair of blocks is one task's work, however large the cluster.
+    ``members`` is (id, component, cluster, text, lonely), one row for each id.
+    Every cluster is dealt into blocks of about ``rows`` texts and ``size``
+    bytes, and each pair of blocks is one task's work, however large the
+    cluster. Two texts that both have more of their own than two equal shares
+    may be are not similar, so blocks of such texts meet the other blocks only.
     """
     kind = members.schema["id"].dataType.simpleString()
-    members = cut(members)
-    extent = members.groupBy("cluster").agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / rows, F.sum(F.octet_length("text")) / size)).cast("int").alias("_blocks")
-    )
-    dealt = members.join(extent, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    high = ~_may_pair(F.col("lonely"), F.col("lonely"), least)
+    members = cut(members.withColumn("_high", high))
+
+    def blocks(which: Column) -> Column:
+        number, volume = F.count(F.when(which, 1)), F.sum(F.when(which, F.octet_length("text")).otherwise(0))
+        return F.ceil(F.greatest(number / rows, volume / size)).cast("int")
+
+    extent = members.groupBy("cluster").agg(blocks(~F.col("_high")).alias("_low_blocks"), blocks(F.col("_high")).alias("_high_blocks"))
+    dealt = members.join(extent.where("_low_blocks > 0"), "cluster")
+    drawn = F.pmod(F.xxhash64("id"), F.when(F.col("_high"), F.col("_high_blocks")).otherwise(F.col("_low_blocks"))).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("_high"), drawn + F.col("_low_blocks")).otherwise(drawn))
+    last = F.when(F.col("_high"), F.col("_low_blocks")).otherwise(F.col("_low_blocks") + F.col("_high_blocks")) - 1
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
     paired = dealt.select(
         "cluster", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "id", "component", "text"
     )
@@ -217,9 +267,13 @@ def block_links(members: DataFrame, least: float, rows: int = 256, size: int = 1
         ids, component, block = (group.column(c).to_numpy() for c in ("id", "component", "block"))
         owner, shingle, weight, _ = shingles(group.column("text").combine_chunks())
         found = _close_pairs(owner, shingle, weight, component, block, least)
-        return pa.table({"a": group.column("id").take(found[:, 0]), "b": group.column("id").take(found[:, 1])})
+        a, b = pa.array(found[:, 0]), pa.array(found[:, 1])
+        columns = {"a": group.column("id").take(a), "b": group.column("id").take(b)}
+        return pa.table(columns | {"of_a": group.column("component").take(a), "of_b": group.column("component").take(b)})
 
-    return paired.groupBy("cluster", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}")
+    found = paired.groupBy("cluster", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}, of_a {kind}, of_b {kind}")
+    ends = (F.least("of_a", "of_b").alias("of_a"), F.greatest("of_a", "of_b").alias("of_b"))
+    return found.groupBy(*ends).agg(F.min(F.struct("a", "b")).alias("link")).select("link.*")
 
 
 def _close_pairs(owner, shingle, weight, component, block, least: float) -> np.ndarray:
