@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import exact, language, licences, neardup, neighbours, packing, quality, sharding, tokens, toxicity
+from veilscan.llm import (
+    alignment, exact, language, licences, neardup, neighbours, packing, quality, secret_scan, sharding, spelling, tokens, toxicity,
+)
 from veilscan.llm.common import remainder, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +160,32 @@ def op9_sharding(spark, sf):
 def op10_neighbours(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return neighbours.nearest(vectors, "id % 100 = 0").withColumnRenamed("id", "vec_id")
+
+
+@query("op11_secrets")
+def op11_secrets(spark, sf):
+    found = secret_scan.scan(_documents(spark, sf))
+    base = F.filter("spans", lambda s: s.base)
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    numbers = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select(
+        F.col("id").alias("doc_id"), *numbers, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
+@query("op12_alignment")
+def op12_alignment(spark, sf):
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.measured(_documents(spark, sf), alignment.tokenizers(spark, *paths)).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_spelling")
+def op13_spelling(spark, sf):
+    words = spelling.word_counts(_documents(spark, sf))
+    usual = (F.col("n") >= spelling.LEAST_TIMES) & (F.length("word") >= spelling.LEAST_LETTERS)
+    return spelling.variants(words.where(usual))
