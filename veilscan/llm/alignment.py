@@ -309,7 +309,7 @@ def measured(docs: DataFrame, both) -> DataFrame:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                (own,) = pa.ipc.open_stream(batch.column("rows")[k].as_py()).to_batches() or [None]
+                own = pa.ipc.open_stream(batch.column("rows")[k].as_py()).read_next_batch()
                 known = batch.column("known")[k].values
                 n, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if known is not None and len(known):

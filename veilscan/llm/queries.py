@@ -170,9 +170,11 @@ def op11_secrets(spark, sf):
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
-    numbers = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        F.col("id").alias("doc_id"), *numbers, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+        F.col("id").alias("doc_id"), *map(number, ("assign", "access", "hex")), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
     )
 
 
