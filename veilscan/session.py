@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
@@ -48,3 +48,11 @@ def work_dir(spark: SparkSession) -> str:
     if master != "local" and not master.startswith("local["):
         raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     return _own_folder()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows from a reliable checkpoint in the shared folder: they are computed once, and the lineage ends here."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_dir(df.sparkSession))
+    return df.checkpoint()

@@ -6,13 +6,16 @@ from collections.abc import Callable, Iterable
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.functions.text import file_format, format_key
-from veilscan.sources.encoding import binary_text_salvage, text_decode
+from veilscan.sources.csv_blocks import records
+from veilscan.sources.encoding import CP1251_UNDEFINED, binary_text_salvage, text_decode
 from veilscan.sources.markup import TEXT_OR_ERROR, html_text, json_parse
+from veilscan.sources.tables import MISSING, decoded_name, distinct_names
 
 # The formats routed by default, and those a text can be named for.
 DEFAULT_FORMATS = (
@@ -31,9 +34,6 @@ KNOWN_FORMATS = (
 )
 
 
-_QUOTED = '(?s)"((?:[^"]|"")*)"'
-
-
 def file_scan(spark: SparkSession, root: str) -> DataFrame:
     """All files under ``root``: path, modificationTime, length, content.
 
@@ -49,37 +49,48 @@ def format_route(df: DataFrame, formats: Iterable[str] | None = None, path: str
     return df.withColumn("file_format", file_format(F.col(path))).where(F.col("file_format").isin(*allowed))
 
 
-def csv_text(content: Column) -> Column:
-    """A CSV file's text with fields a space apart: commas in quotes stay, the quotes go."""
-    text = text_decode(content)
-    outside = F.split(text, _QUOTED, -1)
-    inside = F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(1))
-    joined = F.zip_with(
-        outside,
-        inside,
-        lambda plain, field: F.concat(F.translate(plain, ",", " "), F.coalesce(F.replace(field, F.lit('""'), F.lit('"')), F.lit(""))),
-    )
-    return F.when(F.contains(text, F.lit('"')), F.array_join(joined, "")).otherwise(F.translate(text, ",", " "))
+def _csv_lines(content: bytes) -> str:
+    """The header and each row of a CSV file as a line, by the rules of ``read_csv_table``."""
+    undefined = CP1251_UNDEFINED.encode("latin-1")
+    try:
+        encoding = "utf-8"
+        content.decode(encoding)
+    except UnicodeDecodeError:
+        encoding = "latin-1" if undefined in content else "cp1251"
+    rows = records(content.removeprefix(b"\xef\xbb\xbf"))
+    names = distinct_names([decoded_name(n) for n in next(rows, [])])
+    lines, empty = [" ".join(names)] if names else [], set(MISSING)
+    for row in rows:
+        if len(row) <= len(names):
+            values = [f.decode(encoding) for f in row]
+            lines.append(" ".join(["" if v in empty else v for v in values] + [""] * (len(names) - len(row))))
+    return "".join(line + "\n" for line in lines)
 
 
 def _row_lines(content: bytes) -> str:
     """The header and each row of a Parquet file as a line."""
-    table = pq.read_table(pa.BufferReader(content))
-    lines = [" ".join(table.column_names)]
-    for batch in table.to_batches():
-        lines += [" ".join("" if v is None else str(v) for v in row.values()) for row in batch.to_pylist()]
+    file = pq.ParquetFile(pa.BufferReader(content))
+    lines = [" ".join(file.schema_arrow.names)]
+    for batch in file.iter_batches():
+        lines += [" ".join(row) for row in zip(*(_as_strings(c) for c in batch.columns))]
     return "\n".join(lines)
 
 
-@F.pandas_udf(TEXT_OR_ERROR)
-def parquet_text(contents: pd.Series) -> pd.DataFrame:
-    """(text, error) of Parquet files whose bytes are one cell each."""
+def _as_strings(column: pa.Array) -> list[str]:
+    """A column's values as text, nulls as nothing."""
+    try:
+        return pc.fill_null(column.cast(pa.string()), "").to_pylist()
+    except pa.ArrowException:  # nested values, bytes that are no text
+        return ["" if v is None else str(v) for v in column.to_pylist()]
+
+
+def _texts(read: Callable[[bytes], str], contents: pd.Series) -> pd.DataFrame:
     texts, errors = [], []
     for content in contents:
         text, error = None, None
         if content is not None:
             try:
-                text = _row_lines(bytes(content))
+                text = read(bytes(content))
             except (pa.ArrowException, OSError) as problem:
                 error = str(problem)
         texts.append(text)
@@ -87,6 +98,23 @@ def parquet_text(contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": texts, "error": errors})
 
 
+@F.pandas_udf(TEXT_OR_ERROR)
+def csv_parse(contents: pd.Series) -> pd.DataFrame:
+    """(text, error) of CSV files whose bytes are one cell each."""
+    return _texts(_csv_lines, contents)
+
+
+def csv_text(content: Column) -> Column:
+    """A CSV file's text: a line for the header and for each row, fields a space apart, without quotes."""
+    return csv_parse(content)["text"]
+
+
+@F.pandas_udf(TEXT_OR_ERROR)
+def parquet_text(contents: pd.Series) -> pd.DataFrame:
+    """(text, error) of Parquet files whose bytes are one cell each."""
+    return _texts(_row_lines, contents)
+
+
 def _plain(text: Column) -> Column:
     return F.struct(text.alias("text"), F.lit(None).cast("string").alias("error"))
 
@@ -99,7 +127,7 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {
     "html": lambda content: _plain(html_text(text_decode(content))),
     "doc": lambda content: _plain(binary_text_salvage(content)),
     "json": json_parse,
-    "csv": lambda content: _plain(csv_text(content)),
+    "csv": csv_parse,
     "parquet": parquet_text,
 }
 

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilscan.operators.detect import detect, explode_matches
 from veilscan.operators.rules import DEFAULT_RULES, Rule
-from veilscan.sources.encoding import CP1251_UNDEFINED, from_cp1251
+from veilscan.sources.csv_blocks import csv_header, csv_records
+from veilscan.sources.encoding import from_cp1251
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -78,55 +78,60 @@ def table_cell_scan(
     )
 
 
-_RAW, _FILE = "_raw_record", "_csv_file"
+# What an all-string read takes for a missing value.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+    "None", "n/a", "nan", "null",
+)
 
 
-def _own_name(raw: str) -> str:
-    """A header field read as single bytes, in the first encoding that fits."""
-    data = raw.encode("latin-1", "replace")
-    for encoding in ("utf-8-sig", "cp1251", "latin-1"):
+def decoded_name(data: bytes) -> str:
+    """A header field in the first encoding that fits."""
+    for encoding in ("utf-8", "cp1251"):
         try:
             return data.decode(encoding)
         except UnicodeDecodeError:
             continue
-    return raw
+    return data.decode("latin-1")
 
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(file, encoding): utf-8, else cp1251, else latin-1, whichever all of a file's bytes fit first."""
-    undefined = F.contains(F.col("value").cast("binary"), F.lit(CP1251_UNDEFINED.encode("latin-1")))
-    return (
-        spark.read.text(path)
-        .groupBy(F.col("_metadata.file_path").alias(_FILE))
-        .agg(F.bool_and(F.is_valid_utf8("value")).alias("_utf8"), F.bool_or(undefined).alias("_undefined"))
-        .select(_FILE, F.when(F.col("_utf8"), "utf-8").when(~F.col("_undefined"), "cp1251").otherwise("latin-1").alias("_encoding"))
-    )
-
+def distinct_names(names: Sequence[str]) -> list[str]:
+    """Column names as they are, but numbered where one was there before (``a``, ``a.1``), and where there is none.
 
-def read_csv_table(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
+    Names that differ in case alone count as equal, as Spark resolves them.
+    """
+    named = [n or f"Unnamed: {i}" for i, n in enumerate(names)]
+    taken, out, seen = {n.lower() for n in named}, [], {}
+    for name in named:
+        new, key = name, name.lower()
+        if key in seen:
+            while new.lower() in taken:
+                seen[key] += 1
+                new = f"{name}.{seen[key]}"
+            taken.add(new.lower())
+        seen.setdefault(key, 0)
+        out.append(new)
+    return out
+
+
+def read_csv_table(spark: SparkSession, path: str, file: str | None = None, missing: Sequence[str] = MISSING) -> DataFrame:
     """A CSV table with every column a string; each file in its own encoding.
 
-    Quoted fields may hold newlines, so a file is read by one task and files
-    side by side. Rows with too many fields, empty ones included, are skipped;
-    short rows are filled up. The files share the first one's header. ``file``
-    names a column to hold the file's path.
+    Large files are read in parallel, quoted line breaks and all (see
+    ``csv_blocks``). Rows with too many fields, empty ones included, are
+    skipped; short rows are filled up; what stands for a missing value becomes
+    empty. The files share the first one's header, equal names are numbered.
+    ``file`` names a column to hold the file's path. Without a header there is
+    no column and no row.
     """
-    reader = spark.read.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').option("multiLine", True)
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(_RAW, T.StringType())])
-    read = reader.option("enforceSchema", True).option("columnNameOfCorruptRecord", _RAW).schema(schema).csv(path)
-    # The raw record is there for rows with another count of fields only.
-    unquoted = F.regexp_replace(_RAW, '(?s)"(?:[^"]|"")*"', "")
-    fields = F.length(unquoted) - F.length(F.translate(unquoted, ",", "")) + 1
-    rows = read.select("*", F.col("_metadata.file_path").alias(_FILE)).where(F.col(_RAW).isNull() | (fields <= len(names)))
-    rows = rows.join(file_encodings(spark, path), _FILE, "left")
-
-    def clean(name: str) -> Column:
-        value = F.col(name)
-        as_bytes = F.encode(value, "ISO-8859-1")
-        decoded = F.when(F.col("_encoding") == "utf-8", F.decode(as_bytes, "UTF-8"))
-        decoded = decoded.when(F.col("_encoding") == "cp1251", from_cp1251(value)).otherwise(value)
-        return F.coalesce(F.when(value.rlike(r"[^\x00-\x7F]"), decoded).otherwise(value), F.lit(""))
-
-    own = [F.col(_FILE).alias(file)] if file else []
-    return rows.select(*(clean(f"_c{i}").alias(_own_name(n)) for i, n in enumerate(names)), *own)
+    names = distinct_names([decoded_name(n) for n in csv_header(spark, path)])
+    rows = csv_records(spark, path).where(F.size("fields") <= len(names))
+
+    def clean(i: int) -> Column:
+        field = F.get("fields", F.lit(i))
+        other = F.decode(field, "ISO-8859-1")
+        text = F.when(F.col("encoding") == "utf-8", field.cast("string")).when(F.col("encoding") == "cp1251", from_cp1251(other)).otherwise(other)
+        return F.when(text.isin(*missing), "").otherwise(F.coalesce(text, F.lit("")))
+
+    own = [F.col("file").alias(file)] if file else []
+    return rows.select(*(clean(i).alias(n) for i, n in enumerate(names)), *own)
