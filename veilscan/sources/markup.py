@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5, name2codepoint
 
 import pandas as pd
@@ -83,24 +84,137 @@ TEXT_OR_ERROR = T.StructType([T.StructField("text", T.StringType()), T.StructFie
 # A pandas UDF on purpose: Spark folds a chain of UDFs of one kind into one plan
 # node and repeats every expression between them; merging uses an Arrow UDF.
 @F.pandas_udf(TEXT_OR_ERROR)
-def json_parse(documents: pd.Series) -> pd.DataFrame:
-    """(text, error): the document (text or bytes) on one line without ASCII escapes.
-
-    The standard library's serialiser keeps member order and spacing, which
-    matches may span; Spark's variant functions keep neither.
-    """
+def _judged_by_library(documents: pd.Series) -> pd.DataFrame:
+    """(text, error) of documents that are left to the standard library."""
     rows = []
     for document in documents:
-        if isinstance(document, (bytes, bytearray)):
-            document = bytes(document).decode("utf-8", errors="ignore")
-        try:
-            text = json.dumps(json.loads(document or ""), ensure_ascii=False)
-            rows.append((text.encode("utf-8", "replace").decode("utf-8"), None))
-        except (ValueError, RecursionError) as problem:
-            rows.append((None, str(problem)))
+        text, error = None, None
+        if document is not None:
+            try:
+                text = json.dumps(json.loads(document), ensure_ascii=False).encode("utf-8", "replace").decode("utf-8")
+            except (ValueError, RecursionError) as problem:
+                error = str(problem)
+        rows.append((text, error))
     return pd.DataFrame(rows, columns=["text", "error"])
 
 
+_ESCAPE = r"\\(?:u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|.)"
+_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+# Control characters are in no valid document, so they can stand for an escaped quote and a backslash.
+_OWN_QUOTE, _OWN_BACKSLASH = "\x01", "\x02"
+#: What plain decimal arithmetic on digits does not settle: more than 15 of them, exponents of three.
+_LONG_NUMBER = "(?=[0-9]*[.eE])[0-9.]{17,}|[0-9.][eE][+-]?[0-9]{3}"
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: a lambda's argument is no expression repeated in every use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _replaced(text: Column, pattern: str, resolve: Callable[[Column], Column]) -> Column:
+    """Every match replaced by what ``resolve`` makes of it, in one pass."""
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(pieces, found, lambda p, n: F.concat(p, F.when(n.isNull(), "").otherwise(resolve(n)))), "")
+
+
+def _decimal(number: Column) -> Column:
+    """A number with a fraction or an exponent in its shortest form: 1.50 is 1.5, 1e2 is 100.0, 1e-7 is 1e-07."""
+    plain = F.regexp_extract(number, "[0-9.]+", 0)
+    exponent = F.coalesce(F.regexp_extract(number, "[eE]([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
+    whole = F.substring_index(plain, ".", 1)
+    every = F.replace(plain, F.lit("."), F.lit(""))
+    led = F.ltrim(every, F.lit("0"))
+    digits = F.rtrim(led, F.lit("0"))
+    point = F.length(whole) - F.length(every) + F.length(led) + exponent
+
+    def written(v: Column) -> Column:
+        d, at = v["digits"], v["point"]
+        zeros = F.repeat(F.lit("0"), F.greatest(-at, at - F.length(d), F.lit(0)))
+        scientific = F.concat(
+            F.substring(d, 1, 1),
+            F.when(F.length(d) > 1, F.concat(F.lit("."), F.substring(d, 2, 400))).otherwise(""),
+            F.when(at > 0, "e+").otherwise("e-"),
+            F.when(F.abs(at - 1) < 10, "0").otherwise(""),
+            F.abs(at - 1).cast("string"),
+        )
+        positional = (
+            F.when(at <= 0, F.concat(F.lit("0."), zeros, d))
+            .when(at >= F.length(d), F.concat(d, zeros, F.lit(".0")))
+            .otherwise(F.concat(d.substr(F.lit(1), at), F.lit("."), d.substr(at + 1, F.length(d))))
+        )
+        sign = F.when(number.startswith("-"), "-").otherwise("")
+        return F.concat(sign, F.when(d == "", "0.0").when((at < -3) | (at > 16), scientific).otherwise(positional))
+
+    return _bound(F.struct(digits.alias("digits"), point.alias("point")), written)
+
+
+def _between_strings(piece: Column) -> Column:
+    """What stands between string literals: one space after commas and colons, numbers in their shortest form."""
+    tight = F.translate(piece, " \t\n\r", "")
+    number = _replaced(
+        tight, _NUMBER, lambda n: F.when(n.rlike("[.eE]"), _decimal(n)).when(n == "-0", "0").otherwise(n)
+    )
+    shortest = F.when(tight.rlike("[0-9][.eE]|-0"), number).otherwise(tight)
+    return F.replace(F.replace(shortest, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))
+
+
+def _escape(found: Column) -> Column:
+    """An escape of a string literal in its shortest form."""
+    kind = F.substring(found, 2, 1)
+    high, low = F.conv(F.substring(found, 3, 4), 16, 10).cast("bigint"), F.conv(F.substring(found, 9, 4), 16, 10).cast("bigint")
+    paired = F.decode(F.unhex(F.lpad(F.hex((high - 0xD800) * 1024 + low - 0xDC00 + 0x10000), 8, "0")), "UTF-32")
+    short = F.element_at(F.create_map(*(F.lit(v) for pair in ((8, "b"), (9, "t"), (10, "n"), (12, "f"), (13, "r")) for v in pair)), high.cast("int"))
+    control = F.concat(F.lit(_OWN_BACKSLASH), F.coalesce(short, F.concat(F.lit("u"), F.lpad(F.lower(F.hex(high)), 4, "0"))))
+    coded = (
+        F.when(F.length(found) > 6, paired)
+        .when(high < 32, control)
+        .when(high == 34, _OWN_QUOTE)
+        .when(high == 92, _OWN_BACKSLASH * 2)
+        .when(high.between(0xD800, 0xDFFF), "?")
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(high), 8, "0")), "UTF-32"))
+    )
+    return (
+        F.when(kind == "u", coded)
+        .when(kind == '"', _OWN_QUOTE)
+        .when(kind == "\\", _OWN_BACKSLASH * 2)
+        .when(kind == "/", "/")
+        .otherwise(F.concat(F.lit(_OWN_BACKSLASH), kind))
+    )
+
+
+def _one_line(document: Column) -> Column:
+    """A valid document on one line.
+
+    Escapes come first, the only thing that could hide a quote; the text is then
+    cut at its quotes, and every second piece is what stands between literals.
+    """
+    plain = F.when(F.contains(document, F.lit("\\")), _replaced(document, _ESCAPE, _escape)).otherwise(document)
+    pieces = F.transform(F.split(plain, '"', -1), lambda p, i: F.when(i % 2 == 0, _between_strings(p)).otherwise(p))
+    return F.replace(F.replace(F.array_join(pieces, '"'), F.lit(_OWN_QUOTE), F.lit('\\"')), F.lit(_OWN_BACKSLASH), F.lit("\\"))
+
+
+def json_parse(document: Column | str) -> Column:
+    """(text, error): the document (text or bytes) on one line without ASCII escapes.
+
+    Members keep their order. Documents that Spark's parser takes are rewritten
+    in the JVM; the parser ends at the first value, so it is asked within an
+    array and within an object, of which trailing text breaks one. What it
+    refuses (broken ones, equal names of which the last counts, NaN, very long
+    ones), and numbers of more digits than decimals settle, is judged by the
+    standard library, and a broken document's error is worded by it. Null
+    counts as empty.
+    """
+    document = F.col(document) if isinstance(document, str) else document
+    # Bytes that are no UTF-8 are left out.
+    text = F.coalesce(F.regexp_replace(F.make_valid_utf8(document.cast("string")), "\ufffd", ""), F.lit(""))
+    text = F.when(F.is_valid_utf8(document.cast("string")), document.cast("string")).otherwise(text)
+    valid = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    valid &= F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}"))).isNotNull()
+    native = F.coalesce(valid & ~text.rlike(_LONG_NUMBER), F.lit(False))
+    own = F.struct(_one_line(text).alias("text"), F.lit(None).cast("string").alias("error"))
+    return F.when(native, own).otherwise(_judged_by_library(F.when(~native, text)))
+
+
 def json_text(document: Column) -> Column:
     """One-line JSON; null where the document does not parse."""
     return json_parse(document)["text"]
