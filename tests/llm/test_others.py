@@ -61,8 +61,16 @@ def test_matching_statistics_by_hand():
         assert length == max((n for n in range(1, 26) if tuple(items[max(at + 1 - n, 0) : at + 1]) in runs and n <= at + 1), default=0)
 
 
-@pytest.mark.parametrize("sizes", [[], [1], [40] * 5 + [1] * 100, [100], [3] * 50, [1] * 7, [60, 2, 2, 2], [9] * 9])
-def test_shards(spark, sizes):
+def extra_shards(placed, sizes):
+    return sum(len({r.shard for r in placed if r.id // 1000 == g}) - 1 for g, n in enumerate(sizes) if n > 1)
+
+
+@pytest.mark.parametrize(
+    "sizes, most",
+    [([], 0), ([1], 0), ([40] * 5 + [1] * 100, 20), ([100], 7), ([3] * 50, 14), ([1] * 7, 0), ([60, 2, 2, 2], 8), ([9] * 9, 16),
+     ([2] * 100, 10), ([5] * 40, 40), ([50, 30, 1, 1, 1] + [2] * 20, 16)],
+)
+def test_shards(spark, sizes, most):
     rows = [(1000 * g + k, f"g{g}" if n > 1 else None) for g, n in enumerate(sizes) for k in range(n)]
     placed = sharding.shards(spark.createDataFrame(rows, "id long, key string"), 8).collect()
     counts = np.bincount([r.shard for r in placed], minlength=8)
@@ -70,11 +78,39 @@ def test_shards(spark, sizes):
     assert counts.max() - counts.min() <= 1
     for s in range(8):
         assert sorted(r.slot for r in placed if r.shard == s) == list(range(counts[s]))
-    cut = sum(len({r.shard for r in placed if r.id // 1000 == g}) - 1 for g, n in enumerate(sizes) if n > 1)
-    if sizes == [40] * 5 + [1] * 100:
-        assert cut <= 20  # 35 would be cut by an even spread
-    if sizes in ([60, 2, 2, 2],):
-        assert cut <= 8
+    even = sum(min(n, 8) - 1 for n in sizes if n > 1)
+    assert extra_shards(placed, sizes) <= min(most, even)
+
+
+def least_extra(sizes, count):
+    """The fewest extra shards of any even placing, by trying them all."""
+    total = sum(sizes)
+    caps = tuple(total // count + (s < total % count) for s in range(count))
+
+    def splits(n, room):
+        if len(room) == 1:
+            return [(n,)] if n <= room[0] else []
+        return [(k, *rest) for k in range(min(n, room[0]) + 1) for rest in splits(n - k, room[1:])]
+
+    states = {caps: 0}
+    for n in sizes:
+        following = {}
+        for room, cost in states.items():
+            for split in splits(n, room):
+                left = tuple(r - k for r, k in zip(room, split, strict=True))
+                new = cost + sum(k > 0 for k in split) - 1
+                following[left] = min(following.get(left, new), new)
+        states = following
+    return min(states.values())
+
+
+@pytest.mark.parametrize("sizes", [[2, 2, 2, 2, 2, 2], [5, 4, 3], [6, 1, 1, 1, 3], [4, 4, 4, 2, 2]])
+def test_shards_against_the_best_placing(spark, sizes):
+    rows = [(1000 * g + k, f"g{g}" if n > 1 else None) for g, n in enumerate(sizes) for k in range(n)]
+    placed = sharding.shards(spark.createDataFrame(rows, "id long, key string"), 3).collect()
+    best = least_extra(sizes, 3)
+    # One cut at each boundary between shards is what slices may cost.
+    assert best <= extra_shards(placed, sizes) <= best + 2
 
 
 def test_shards_of_rows_that_repeat(spark):
@@ -83,6 +119,18 @@ def test_shards_of_rows_that_repeat(spark):
     assert len(placed) == 11 and len({(r.shard, r.slot) for r in placed}) == 11
 
 
+def test_shards_with_any_other_columns(spark):
+    """Names that the operator uses itself, null and empty keys, a null id."""
+    rows = [(i, ["a", "", None][i % 3] if i < 30 else f"k{i // 2}", i, "x", 2.0, None, True) for i in range(60)] + [(None, "", 7, "x", 1.0, None, False)]
+    names = "id long, key string, shard int, label string, first double, hot string, _row boolean"
+    placed = sharding.shards(spark.createDataFrame(rows, names), 4)
+    assert placed.columns == ["id", "key", "label", "first", "hot", "_row", "shard", "slot"]
+    found = placed.collect()
+    assert sorted(np.bincount([r.shard for r in found])) == [15, 15, 15, 16]
+    assert len({(r.shard, r.slot) for r in found}) == 61 and sum(r.id is None for r in found) == 1
+    assert sum(len({r.shard for r in found if r.key == k}) - 1 for k in {r.key for r in found} - {None}) <= 5
+
+
 def test_hilbert_curve_visits_neighbours():
     places = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     order = np.argsort(neighbours.hilbert_keys(places, 3))
