@@ -7,6 +7,7 @@ and its SQL check read the same rows and both grow with the tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilscan.sources.tables import spread
 
@@ -68,13 +69,40 @@ select event_id, case when event_id % 50 = 0 then substr(props, 1, length(props)
 from events
 """
 
+# JSON documents with what a re-serialisation changes, and how they then read; null where they are broken.
+JSON_RECORDS = """
+select k, case when k % 11 = 0 then raw || ' x' when k % 7 = 0 then '{"z":1,"id" : 2 ,"z":' || k || '}' else raw end as body,
+       case when k % 11 = 0 then null when k % 7 = 0 then '{"z": ' || k || ', "id": 2}' else clean end as text
+from (
+  select cast(c_custkey as string) as k_text, c_custkey as k,
+    '{ "id" :' || cast(c_custkey as string) || ' ,' || chr(9) || '"name":"' || c_name || chr(92) || 'u0041' || chr(92) || '/' || chr(92) || 'u000a' ||
+    chr(92) || '"' || chr(92) || 'u0418","tags" : [ "' || c_mktsegment || ', a: b",[ ],{ } ,null , true],' || chr(10) || '"n":[1.50,' ||
+    cast(c_custkey as string) || 'e2, -0,0.10,1E-7] }' as raw,
+    '{"id": ' || cast(c_custkey as string) || ', "name": "' || c_name || 'A/' || chr(92) || 'n' || chr(92) || '"И", "tags": ["' ||
+    c_mktsegment || ', a: b", [], {}, null, true], "n": [1.5, ' || cast(c_custkey as string) || '00.0, 0, 0.1, 1e-07]}' as clean
+  from customer
+) c
+"""
+
+# Stored files: path, the text of their bytes, the text that is to come out of them, and whether one does. CSV files hold
+# a table of records each, with line breaks in quotes.
+STORED_PLAIN = {
+    "documents": "select 'documents/' || cast(doc_id as string) || case when doc_id % 3 = 0 then '.pdf' else '.bak' end as path, "
+    "coalesce(text, '') as body from documents",
+    "pages": "select 'pages/' || cast(page_id as string) || '.html' as path, html as body from pages",
+    "events": f"select 'events/' || cast(event_id as string) || '.json' as path, body from ({JSON_DOCS}) e",
+    "customer": f"select 'records/' || cast(doc_id as string) || '.html' as path, text as body from ({PII_DOCS}) r",
+}
+CSV_ROW = "'\"' || replace(text, '\"', '\"\"') || '\",' || cast(doc_id as string)"
+
 NAMES = (
     ("Иванова", "last"), ("Сидоров", "last"), ("Кузнецова", "last"), ("Петров", "last"),
     ("Мария", "first"), ("Пётр", "first"), ("Анна", "first"), ("Иван", "first"),
 )
 PLACES = ("Москва", "Нижний Новгород", "Новгород")
 
-_TABLE_OF = {DOCS: "documents", PII_DOCS: "customer", JSON_DOCS: "events"}
+_TABLE_OF = {DOCS: "documents", PII_DOCS: "customer", JSON_DOCS: "events", JSON_RECORDS: "customer"}
+_TABLE_OF |= {sql: name for name, sql in STORED_PLAIN.items()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +112,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Evaluate a fixture's SELECT over its table."""
     name = _TABLE_OF[sql]
-    return spark.sql(sql.replace(f"from {name}", "from {source}"), source=table(spark, sf_dir, name))
+    plain = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(plain.replace(f"from {name}", "from {source}"), source=table(spark, sf_dir, name))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +128,22 @@ def json_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, JSON_DOCS)
 
 
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, JSON_RECORDS)
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, length, content) of files that were made of the given tables."""
+    parts = [fixture(spark, sf_dir, sql) for sql in STORED_PLAIN.values()]
+    rows = pii_docs(spark, sf_dir).select((F.col("doc_id") % 25).alias("g"), "doc_id", F.expr(CSV_ROW).alias("row"))
+    lines = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("doc_id", "row"))).alias("rows"))
+    body = F.concat(F.lit("text,k\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"))
+    files = lines.select(F.concat(F.lit("tables/"), F.col("g").cast("string"), F.lit(".csv")).alias("path"), body.alias("body"))
+    for part in parts:
+        files = files.unionByName(part)
+    return files.select("path", F.octet_length("body").cast("bigint").alias("length"), F.encode("body", "UTF-8").alias("content"))
+
+
 def names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(NAMES), "token string, kind string")
 

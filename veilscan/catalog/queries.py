@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 from veilscan.catalog import fixtures as fx
 from veilscan.catalog import oracle as o
 from veilscan.functions import checks, text as tx
-from veilscan.functions.similarity import similarity_ratio
+from veilscan.functions.matching import find_places
+from veilscan.functions.similarity import leaders_of_rows, similarity_ratio
 from veilscan.operators import dedup, names, rollup
-from veilscan.operators.detect import Plugin, dedup_split, detect, explode_matches, isolated, merge_near_equal
+from veilscan.operators.detect import (
+    Plugin, dedup_split, detect, explode_matches, isolated, merge_near_equal, plugin_rows, source_of, with_sources,
+)
 from veilscan.operators.rules import DEFAULT_RULES, HEALED_CATEGORIES, MERGED_CATEGORIES, rule, rules_from_rows
+from veilscan.plans.directory import file_rows, split_rows
+from veilscan.plans.parts import part_matches, part_verdicts
 from veilscan.plans.report import write_report
 from veilscan.plans.scan import matches_table, report, scan
 from veilscan.session import work_dir
@@ -46,14 +51,21 @@ DOCUMENTS = "select doc_id, text from documents"
 # --- sources ---------------------------------------------------------------
 
 
-@query("file_scan")
+@query(
+    "file_scan",
+    "select coalesce(source, '') as source, sum(strlen(coalesce(text, '')) + 1) as bytes, "
+    "sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1) as line_ends from documents group by 1",
+)
 def file_scan(spark, sf):
-    listed = files.file_scan(spark, sf).select("path", "length")
-    return listed.select(
-        F.element_at(tx.path_order(F.col("path")), -1).alias("name"),
-        tx.file_format(F.col("path")).alias("file_format"),
-        "length",
-    )
+    """The documents written as text files, a folder for each source, and found again by a listing."""
+    root = f"{work_dir(spark)}/files-{uuid.uuid4().hex}"
+    rows = fx.table(spark, sf, "documents").select(F.concat(F.lit("s-"), F.coalesce("source", F.lit(""))).alias("folder"), F.coalesce("text", F.lit("")).alias("text"))
+    rows.write.partitionBy("folder").text(root)
+    listed = files.file_scan(spark, root).where(tx.file_format(F.col("path")) == "txt")
+    content = F.col("content").cast("string")
+    ends = F.length(content) - F.length(F.translate(content, "\n", ""))
+    each = listed.select(F.regexp_extract("path", "folder=s-([^/]*)/", 1).alias("source"), "length", ends.alias("ends"))
+    return each.groupBy("source").agg(F.sum("length").alias("bytes"), F.sum("ends").alias("line_ends"))
 
 
 _FORMATS = ", ".join(o.q(f) for f in files.DEFAULT_FORMATS)
@@ -97,6 +109,15 @@ def csv_table_text(spark, sf):
     return tables.table_rows_text(tables.read_csv_table(spark, path), key=["c_custkey"])
 
 
+@query("csv_quoted_text", f"select cast(doc_id as varchar) as doc_id, text from ({fx.PII_DOCS})")
+def csv_quoted_text(spark, sf):
+    """Records with line breaks in quotes, read by blocks."""
+    path = f"{work_dir(spark)}/csv-{uuid.uuid4().hex}"
+    writer = fx.pii_docs(spark, sf).write.option("header", True).option("quoteAll", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return tables.read_csv_table(spark, path).select("doc_id", "text")
+
+
 def _cells(table: str, key: str, columns: dict[str, str]) -> str:
     return " union all ".join(
         f"select '{c}#' || cast({key} as varchar) as doc_id, {e} as text from {table} where {c} is not null"
@@ -140,6 +161,11 @@ def json_text(spark, sf):
     return fx.json_docs(spark, sf).select("event_id", markup.json_text(F.col("body")).alias("text"))
 
 
+@query("json_text_records", f"select k, text from ({fx.JSON_RECORDS})")
+def json_text_records(spark, sf):
+    return fx.json_records(spark, sf).select("k", markup.json_text(F.col("body")).alias("text"))
+
+
 @query("html_text", f"select page_id, {o.HTML_TEXT} as text from pages")
 def html_text(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", markup.html_text(F.col("html")).alias("text"))
@@ -233,10 +259,11 @@ _CATEGORIES = sorted({r.category for r in DEFAULT_RULES} | {"full_name"})
     f"(select unnest([{', '.join(map(o.q, _CATEGORIES))}]) as category)",
 )
 def source_switch(spark, sf):
-    texts = fx.pii_docs(spark, sf).withColumn("healed", tx.heal_ocr_digits(F.col("text")))
-    by_category = texts.select("*", F.explode(F.array(*(F.lit(c) for c in _CATEGORIES))).alias("category"))
-    source = F.when(F.col("category").isin(*HEALED_CATEGORIES), F.col("healed")).otherwise(F.col("text"))
-    return by_category.select("doc_id", "category", F.sha2(source, 256).alias("source_hash"))
+    texts = with_sources(fx.pii_docs(spark, sf), F.col("text"), "doc_id")
+    by_category = F.array(
+        *(F.struct(F.lit(c).alias("category"), F.sha2(source_of(c in HEALED_CATEGORIES), 256).alias("source_hash")) for c in _CATEGORIES)
+    )
+    return texts.select("doc_id", F.explode(by_category).alias("s")).select("doc_id", "s.*")
 
 
 @query(
@@ -329,6 +356,11 @@ def content_dedup(spark, sf):
     return dedup.first_of_copies(hashed)
 
 
+@query("content_dedup_texts", f"select path, text, sha256(text) as file_hash from ({fx.DOCS}) {_FIRST}")
+def content_dedup_texts(spark, sf):
+    return dedup.content_dedup(fx.docs(spark, sf).select("path", "text"), content="text").select("path", "text", "file_hash")
+
+
 @query(
     "stream_content_dedup",
     o.verdicts("select distinct sha256(text) as doc_id, text from documents")
@@ -420,12 +452,31 @@ def all_document_matches(spark, sf):
 
 @query("match_line", f"with {o.with_matches(DOCUMENTS, ['email', 'passport_intl'])} select doc_id, detector, ord, line from m")
 def match_line(spark, sf):
-    source = _documents(spark, sf)
-    lines = [
-        detect(source, rules=[rule(d)]).select("doc_id", F.lit(d).alias("detector"), F.posexplode_outer("matches.line"))
-        for d in ("email", "passport_intl")
-    ]
-    return lines[0].unionByName(lines[1]).where("col is not null").select("doc_id", "detector", F.col("pos").alias("ord"), F.col("col").alias("line"))
+    found = detect(_documents(spark, sf), rules=[rule("email"), rule("passport_intl")])
+
+    def lines(detector: str) -> Column:
+        own = F.filter("matches", lambda m: m["detector"] == detector)
+        return F.transform(own, lambda m, i: F.struct(F.lit(detector).alias("detector"), i.alias("ord"), m["line"].alias("line")))
+
+    both = F.concat(lines("email"), lines("passport_intl"))
+    return found.select("doc_id", F.explode_outer(both).alias("m")).where("m is not null").select("doc_id", "m.*")
+
+
+_POSITIONS = "regexp_replace(s, '([A-Za-z0-9._%+\\-]{1,64}@[A-Za-z0-9.\\-]{1,64}\\.[A-Za-z]{2,7})', chr(2) || '\\1' || chr(3), 'g')"
+
+
+@query(
+    "match_start",
+    # What is before a match: the pieces up to its mark, without the marks.
+    f"""select doc_id, cast(i - 1 as int) as ord, cast(list_sum(list_transform(ps[1:i], lambda p: length(replace(p, chr(3), '')))) as int) as start,
+      string_split(ps[i + 1], chr(3))[1] as value from (
+      select doc_id, ps, unnest(range(1, len(ps))) as i from (
+        select doc_id, string_split({_POSITIONS}, chr(2)) as ps from (select doc_id, coalesce(text, '') as s from documents)))""",
+)
+def match_start(spark, sf):
+    found = _documents(spark, sf).select("doc_id", find_places(F.coalesce("text", F.lit("")), rule("email").pattern).alias("ps"))
+    each = found.select("doc_id", F.posexplode("ps").alias("ord", "p"))
+    return each.select("doc_id", "ord", F.col("p.start").alias("start"), F.col("p.value").alias("value"))
 
 
 @query(
@@ -486,6 +537,16 @@ def fuzzy_dedup_native(spark, sf):
     return _leaders(spark, sf, "native")
 
 
+_GROUPED = f"select doc_id % 40 as doc_id, text from ({fx.PII_DOCS})"
+
+
+@query("fuzzy_dedup_rows", f"with recursive {o.with_matches(_GROUPED)}, {o.LEADERS} select doc_id, category, value from kept")
+def fuzzy_dedup_rows(spark, sf):
+    """Leaders among the values of many rows, found by shuffles."""
+    found = matches_table(fx.pii_docs(spark, sf)).where(F.col("category").isin(*MERGED_CATEGORIES))
+    return leaders_of_rows(found.withColumn("doc_id", F.col("doc_id") % 40), ["doc_id", "category"], chunk=64)
+
+
 @query(
     "custom_rules",
     "select c_custkey as doc_id, 'customer_no' as category, unnest(regexp_extract_all(c_name, 'Customer#[0-9]+')) as value from customer "
@@ -520,6 +581,26 @@ def detector_isolation(spark, sf):
     return explode_matches(found).select("doc_id", "detector", "value", "line")
 
 
+def _lines_of(state: dict, text: str):
+    state["texts"] = state.get("texts", 0) + 1
+    if "Диагноз" in text:
+        raise ValueError("not today")
+    for number, line in enumerate(text.split("\n"), 1):
+        if line.endswith(" ок"):
+            yield "line", line, number
+
+
+@query(
+    "plugin_rows",
+    "select doc_id, 'line' as category, 'lines' as detector, l as value, cast(i as int) as line from (select doc_id, text, "
+    f"unnest(string_split(text, chr(10))) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from ({fx.PII_DOCS})) "
+    "where l like '% ок' and not contains(text, 'Диагноз') "
+    f"union all select doc_id, 'detector_failure', 'lines', 'ValueError', null from ({fx.PII_DOCS}) where contains(text, 'Диагноз')",
+)
+def plugin_table_rows(spark, sf):
+    return plugin_rows(fx.pii_docs(spark, sf), _lines_of, "lines")
+
+
 # --- roll-ups --------------------------------------------------------------------
 
 
@@ -584,6 +665,26 @@ def doc_markup_with_names(spark, sf):
     return _markup_rows(scan(fx.pii_docs(spark, sf), names=fx.names(spark), places=fx.places(spark)))
 
 
+@query(
+    "document_parts",
+    o.verdicts(f"select doc_id % 50 as doc_id, string_agg(text, chr(10) order by doc_id) as text from ({fx.PII_DOCS}) group by 1")
+    + "select doc_id, array_to_string(cats, ', ') as categories, total_matches, protection_level, recommendations from verdict",
+)
+def document_parts(spark, sf):
+    """Every line of a record is a page, records of many customers are a document, which is scanned in parts."""
+    lines = fx.pii_docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    pages = lines.select((F.col("doc_id") % 50).alias("doc_id"), (F.col("doc_id") * 100 + F.col("line")).alias("page"), "text")
+    parts = corpus.corpus_table(pages, pages_per_part=20_000, context_pages=12)
+    verdicts = part_verdicts(parts, part_matches(parts))
+    return verdicts.select(
+        "doc_id",
+        F.array_join("categories", ", ").alias("categories"),
+        "total_matches",
+        "protection_level",
+        F.array_join("recommendations", "; ").alias("recommendations"),
+    )
+
+
 @query(
     "scan_status",
     f"select event_id, case when json_valid(body) then 'done' else 'failed' end as status, "
@@ -629,3 +730,38 @@ def report_csv(spark, sf):
     path = write_report(rows, work_dir(spark), uuid.uuid4().hex)
     written = spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
     return written.na.fill("", ["categories", "recommendations"])
+
+
+_STORED = (
+    f"select path, body, null as text, false as ok from ({fx.STORED_PLAIN['documents']}) where path like '%.pdf' "
+    f"union all select path, html, {o.HTML_TEXT}, true from (select 'pages/' || page_id || '.html' as path, html from pages) "
+    f"union all select path, body, case when json_valid(body) then body end, json_valid(body) from ({fx.STORED_PLAIN['events']}) "
+    f"union all select path, body, regexp_replace(body, '^[{o.S}]+|[{o.S}]+$', '', 'g'), true from ({fx.STORED_PLAIN['customer']}) "
+    f"union all select 'tables/' || g || '.csv', 'text,k' || chr(10) || string_agg(row, chr(10) order by doc_id), "
+    "'text k' || chr(10) || string_agg(text || ' ' || doc_id || chr(10), '' order by doc_id), true "
+    f"from (select doc_id % 25 as g, doc_id, text, {fx.CSV_ROW} as row from ({fx.PII_DOCS})) group by g"
+)
+_FIRST_FILES = f"select * from ({_STORED}) qualify row_number() over (partition by sha256(body) order by string_split(path, '/')) = 1"
+
+
+def _file_outcomes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(report rows, quarantine), of one write."""
+    folder = f"{work_dir(spark)}/outcomes-{uuid.uuid4().hex}"
+    file_rows(fx.stored_files(spark, sf)).write.parquet(folder)
+    return split_rows(spark.read.parquet(folder))
+
+
+@query("directory_files", _report_sql(f"select path as doc_id, text from ({_FIRST_FILES}) where ok"))
+def directory_files(spark, sf):
+    """The directory plan over stored bytes: decoding, extraction, scan, report."""
+    return _file_outcomes(spark, sf)[0]
+
+
+@query(
+    "directory_quarantine",
+    f"select path, 'failed' as status, 1 as n_errors, path like '%.pdf' as no_extractor from ({_FIRST_FILES}) where not ok",
+)
+def directory_quarantine(spark, sf):
+    failed = _file_outcomes(spark, sf)[1]
+    missing = F.col("errors")[0]["error"].startswith("no text extractor for format: pdf")
+    return failed.select("path", "status", F.size("errors").alias("n_errors"), missing.alias("no_extractor"))

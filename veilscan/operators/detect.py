@@ -6,7 +6,7 @@ row, so detection never shuffles. ``explode_matches`` gives the long form.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilscan.functions.matching import find_all, match_lines
-from veilscan.functions.similarity import STRINGS, leaders_exact, leaders_native
+from veilscan.functions.matching import find_all, find_lines, find_places
+from veilscan.functions.similarity import leaders_exact, leaders_native
 from veilscan.functions.text import heal_ocr_digits, truncate_text
 from veilscan.operators.rules import (
     DEFAULT_RULES,
@@ -85,8 +85,20 @@ def isolated(
     return run
 
 
+def with_sources(df: DataFrame, text: Column, *carried: str | Column) -> DataFrame:
+    """``carried`` and the two forms in which detectors read a text: as it is, and healed."""
+    df = df.select(*carried, text.alias(_RAW))
+    names = [c for c in df.columns if c != _RAW]
+    return df.select(*(F.col(f"`{c}`") for c in names), _RAW, heal_ocr_digits(F.col(_RAW)).alias(_HEALED))
+
+
+def source_of(healed: bool) -> Column:
+    """The form of the text, from ``with_sources``, that a detector reads."""
+    return F.col(_HEALED if healed else _RAW)
+
+
 def _source(rule: Rule | Plugin) -> Column:
-    return F.col(_HEALED if rule.healed else _RAW)
+    return source_of(rule.healed)
 
 
 def _may_match(rule: Rule, guards: dict) -> Column | None:
@@ -99,9 +111,20 @@ def _may_match(rule: Rule, guards: dict) -> Column | None:
     return condition
 
 
+def _found(rule: Rule, guards: dict, find: Callable[[Column, str], Column], kind: str) -> Column:
+    """What ``find`` gives for a rule's pattern, on the texts that may hold a match; the pattern runs once."""
+    values, condition = find(_source(rule), rule.pattern), _may_match(rule, guards)
+    if rule.ascii_pattern is not None:
+        folding = reduce(or_, (F.contains(_source(rule), F.lit(c)) for c in FOLDING_LETTERS))
+        values = F.when(folding, values).otherwise(find(_source(rule), rule.ascii_pattern))
+    if condition is not None:
+        values = F.when(condition, values).otherwise(F.array().cast(kind))
+    return values.alias(f"_v_{rule.detector}")
+
+
 def _shape(rule: Rule, lines: bool) -> Column:
     """The rule's found values as match structs, validated and normalised."""
-    values, source = F.col(f"_v_{rule.detector}"), _source(rule)
+    values = F.col(f"_v_{rule.detector}")
 
     def match(value: Column, line: Column) -> Column:
         return F.struct(
@@ -112,7 +135,7 @@ def _shape(rule: Rule, lines: bool) -> Column:
         )
 
     if lines:
-        shaped = F.zip_with(values, match_lines(source, rule.pattern), match)
+        shaped = F.transform(values, lambda v: match(v["value"], v["line"]))
     else:
         shaped = F.transform(values, lambda v: match(v, F.lit(None)))
     if rule.validator:
@@ -124,6 +147,66 @@ def _shape(rule: Rule, lines: bool) -> Column:
     return F.when(F.size(values) > 0, shaped).otherwise(F.array().cast(MATCHES))
 
 
+_WITH_LINES = "array<struct<value:string,line:int>>"
+_WITH_PLACES = "array<struct<value:string,line:int,start:int>>"
+
+
+def _guarded(df: DataFrame, carried: Sequence[str], rules: Sequence[Rule]) -> tuple[DataFrame, dict]:
+    """The sources with the outcome of every guard, and under which name each is."""
+    guards = {(r.healed, r.guard): None for r in rules if r.guard is not None}
+    guards = {key: f"_g{i}" for i, key in enumerate(guards)}
+    flags = (source_of(healed).rlike(p).alias(name) for (healed, p), name in guards.items())
+    return df.select(*carried, _RAW, _HEALED, *flags), guards
+
+
+def raw_places(df: DataFrame, text: Column, carried: Sequence[str], rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+    """``carried`` and (detector, value, line, start): every match of every rule as found, neither validated nor normalised."""
+    df, guards = _guarded(with_sources(df, text, *carried), carried, rules)
+    df = df.select(*carried, *(_found(r, guards, find_places, _WITH_PLACES) for r in rules))
+
+    def named(r: Rule) -> Column:
+        own = F.lit(r.detector).alias("detector")
+        return F.transform(
+            f"_v_{r.detector}", lambda v: F.struct(own, v["value"].alias("value"), v["line"].alias("line"), v["start"].alias("start"))
+        )
+
+    return df.select(*carried, F.explode_outer(F.concat(*map(named, rules))).alias("_p")).where("_p is not null").select(*carried, "_p.*")
+
+
+def checked(matches: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+    """Rows with (detector, value) of ``raw_places``: those that their rule's validator takes, normalised, with ``category``."""
+    value, holds, category = F.col("value"), F.lit(True), F.lit(None).cast("string")
+    for r in rules:
+        own = F.col("detector") == r.detector
+        category = F.when(own, r.category).otherwise(category)
+        if r.normaliser:
+            value = F.when(own, NORMALISERS[r.normaliser](F.col("value"))).otherwise(value)
+        if r.validator:
+            holds = F.when(own, VALIDATORS[r.validator](F.col("value"))).otherwise(holds)
+    return matches.where(holds).withColumn("category", category).withColumn("value", value)
+
+
+def clashing(columns: Iterable[str]) -> bool:
+    """Whether input columns have names that the detectors use themselves."""
+    return any(c.startswith("_") or c.lower() in ("matches", "markup", "name_matches") for c in columns)
+
+
+def set_aside(
+    df: DataFrame, carried: Sequence[str], text: str, context: str | None
+) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:
+    """The input under names that can't clash, and a function that gives the names back to a result.
+
+    An input column named like the result's new column is replaced by it.
+    """
+    used = [F.col(f"`{c}`").alias(n) for c, n in ((text, "text"), (context, "context")) if c]
+    safe = df.select(*(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(carried)), *used)
+
+    def named_back(out: DataFrame, new: str) -> DataFrame:
+        return out.select(*(F.col(f"kept{i}").alias(c) for i, c in enumerate(carried) if c.lower() != new), new)
+
+    return safe, named_back
+
+
 def detect(
     df: DataFrame,
     text: str = "text",
@@ -145,6 +228,10 @@ def detect(
     are left to the next part.
     """
     carried = [c for c in df.columns if c not in (text, context)] if keep is None else list(keep)
+    if clashing(carried):
+        safe, named_back = set_aside(df, carried, text, context)
+        options = {"rules": rules, "plugins": plugins, "lines": lines, "max_chars": max_chars}
+        return named_back(detect(safe, "text", context=context and "context", **options), "matches")
     raw = F.coalesce(F.col(text), F.lit(""))
     if context is not None:
         own_lines = F.when(F.col(context).isNotNull(), 1 + F.length(raw) - F.length(F.translate(raw, "\n", "")))
@@ -153,32 +240,15 @@ def detect(
         raw = F.concat_ws("\n", raw, F.col(context))
     if max_chars is not None:
         raw = truncate_text(raw, max_chars)
-    df = df.select(*carried, raw.alias(_RAW))
-    df = df.select(*carried, _RAW, heal_ocr_digits(F.col(_RAW)).alias(_HEALED))
-
-    guards = {(r.healed, r.guard): None for r in rules if r.guard is not None}
-    guards = {key: f"_g{i}" for i, key in enumerate(guards)}
-    df = df.select(
-        *carried,
-        _RAW,
-        _HEALED,
-        *(F.col(_HEALED if healed else _RAW).rlike(p).alias(name) for (healed, p), name in guards.items()),
-    )
-
-    found = []
-    for r in rules:
-        values, condition = find_all(_source(r), r.pattern), _may_match(r, guards)
-        if r.ascii_pattern is not None:
-            folding = reduce(or_, (F.contains(_source(r), F.lit(c)) for c in FOLDING_LETTERS))
-            values = F.when(folding, values).otherwise(find_all(_source(r), r.ascii_pattern))
-        if condition is not None:
-            values = F.when(condition, values).otherwise(F.array().cast(STRINGS))
-        found.append(values.alias(f"_v_{r.detector}"))
-    df = df.select(*carried, _RAW, _HEALED, *found)
+    df, guards = _guarded(with_sources(df, raw, *carried), carried, rules)
 
     def wants_line(r: Rule) -> bool:
         return r.category not in MERGED_CATEGORIES if lines == "kept" else bool(lines)
 
+    found = [
+        _found(r, guards, find_lines, _WITH_LINES) if wants_line(r) else _found(r, guards, find_all, "array<string>") for r in rules
+    ]
+    df = df.select(*carried, _RAW, _HEALED, *found)
     parts = [_shape(r, wants_line(r)) for r in rules]
     parts += [F.coalesce(p.find(_source(p)), F.array().cast(MATCHES)) for p in plugins]
     df = df.select(*carried, (F.concat(*parts) if parts else F.array().cast(MATCHES)).alias("matches"))
@@ -203,6 +273,37 @@ def explode_matches(df: DataFrame, matches: str = "matches") -> DataFrame:
     )
 
 
+def plugin_rows(
+    df: DataFrame, find: Callable[[object, str], Iterable[tuple[str, str, int | None]]], detector: str, text: str = "text"
+) -> DataFrame:
+    """Every column but the text, and (category, detector, value, line): a row for each match that a Python detector yields.
+
+    ``find(state, text)`` runs as a table function beside each text, so it may
+    yield any number of matches, one by one. ``state`` is a dict of the task's
+    own, for what is dear to build (an automaton, a connection). A text on which
+    it raises gives a row of category ``detector_failure`` with the error's
+    kind, after what it had yielded; other texts go on.
+    """
+
+    class Rows:
+        def __init__(self) -> None:
+            self.state: dict = {}
+
+        def eval(self, body: str):
+            try:
+                for category, value, line in find(self.state, body or ""):
+                    yield category, detector, value, line
+            except Exception as problem:
+                yield FAILURE, detector, type(problem).__name__, None
+
+    rows = F.udtf(Rows, returnType="category string, detector string, value string, line int")
+    others = [c for c in df.columns if c != text]
+    own = df.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_row"), F.col(f"`{text}`").alias("_body"))
+    found = own.lateralJoin(rows(F.col("_body").outer()))
+    taken = ("category", "detector", "value", "line")
+    return found.select(*(F.col("_row")[c].alias(c) for c in others if c not in taken), *taken)
+
+
 def detector_failures(df: DataFrame, matches: str = "matches") -> DataFrame:
     """(detector, error, texts): on how many texts a recorded plug-in failed, by the error's kind."""
     failed = explode_matches(df, matches).where(F.col("category") == FAILURE)

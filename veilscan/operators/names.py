@@ -8,7 +8,7 @@ not land in one task. Names and places share one pass over the text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan.functions.matching import find_all
@@ -53,15 +53,26 @@ def longest_place(table: DataFrame) -> int:
     return table.agg(F.max(F.size(find_all(F.coalesce("place", F.lit("")), TOKEN)))).first()[0] or 1
 
 
-def phrases_of(df: DataFrame, text: str, key: str, longest: int = 1, max_chars: int | None = None) -> DataFrame:
+def token_count(text: Column) -> Column:
+    """How many positions a text takes: words and punctuation marks."""
+    return F.size(find_all(clean_for_names(F.coalesce(text, F.lit(""))), TOKEN))
+
+
+def phrases_of(
+    df: DataFrame, text: str, key: str, longest: int = 1, max_chars: int | None = None, own: str | None = None, before: str | None = None
+) -> DataFrame:
     """(key, pos, n, word, phrase): every word, and phrases of up to ``longest`` words.
 
-    Punctuation takes a position of its own, so it breaks a run of words.
+    Punctuation takes a position of its own, so it breaks a run of words. For
+    texts that are parts of a longer one, ``own`` names a column with the
+    positions of a part without what follows it, ``before`` one with those
+    before the part.
     """
     source = F.coalesce(F.col(text), F.lit(""))
     if max_chars is not None:
         source = prefix_for_names(source, max_chars)
-    tokens = df.select(key, find_all(clean_for_names(source), TOKEN).alias("_tokens"))
+    limit, first = (F.col(c) if c else F.lit(None) for c in (own, before))
+    tokens = df.select(key, limit.alias("_own"), first.alias("_first"), find_all(clean_for_names(source), TOKEN).alias("_tokens"))
 
     def entry(n: int):
         return lambda word, i: F.struct(
@@ -72,8 +83,12 @@ def phrases_of(df: DataFrame, text: str, key: str, longest: int = 1, max_chars:
         )
 
     entries = F.concat(*(F.transform("_tokens", entry(n)) for n in range(1, longest + 1)))
-    rows = tokens.select(key, F.explode_outer(entries).alias("_e")).select(key, "_e.*")
-    return rows.where(F.col("word").rlike(r"^\p{L}"))
+    if own is not None:
+        entries = F.filter(entries, lambda e: e["pos"] < F.col("_own"))
+    rows = tokens.select(key, "_first", F.explode_outer(entries).alias("_e")).select(key, "_first", "_e.*")
+    if before is not None:
+        rows = rows.withColumn("pos", F.col("pos") + F.col("_first"))
+    return rows.drop("_first").where(F.col("word").rlike(r"^\p{L}"))
 
 
 def name_hits(
@@ -84,6 +99,8 @@ def name_hits(
     key: str = "doc_id",
     max_chars: int | None = None,
     small: bool | None = None,
+    own: str | None = None,
+    before: str | None = None,
 ) -> DataFrame:
     """(key, pos, name_word, place, n): what the gazetteers know at a position.
 
@@ -92,7 +109,7 @@ def name_hits(
     are partitioned by ``key``, so the steps after this one do not shuffle.
     """
     table = gazetteer(names, places)
-    phrases = phrases_of(df, text, key, 1 if places is None else longest_place(table), max_chars)
+    phrases = phrases_of(df, text, key, 1 if places is None else longest_place(table), max_chars, own, before)
     patronymic = (F.col("n") == 1) & F.col("phrase").rlike(PATRONYMIC) & F.lit(names is not None)
     if is_small(table) if small is None else small:
         found = phrases.join(F.broadcast(table), "phrase", "left").where(
@@ -130,7 +147,7 @@ def found_in(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     that starts inside the last one that counted is not counted. One text's
     hits are one array, in the partitioning by ``key``.
     """
-    hit = F.struct(F.col("pos").cast("int").alias("pos"), F.col("n").cast("int").alias("n"), "name_word", "place")
+    hit = F.struct(F.col("pos").cast("bigint").alias("pos"), F.col("n").cast("int").alias("n"), "name_word", "place")
     texts = hits.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
 
     def word(at: Column, pos: Column) -> Column:
@@ -148,8 +165,8 @@ def found_in(hits: DataFrame, key: str = "doc_id") -> DataFrame:
         words[2] = F.when(words[1].isNotNull(), words[2])
         return F.struct(h["pos"].alias("pos"), F.when(accepted, F.concat_ws(" ", *words)).alias("name"), F.lit(None).cast("string").alias("place"))
 
-    entry = "array<struct<pos:int,name:string,place:string>>"
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(entry).alias("taken"))
+    entry = "array<struct<pos:bigint,name:string,place:string>>"
+    start = F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast(entry).alias("taken"))
 
     def step(state: Column, h: Column) -> Column:
         free = h["pos"] >= state["end"]
@@ -164,6 +181,20 @@ def found_in(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     return texts.select(key, F.explode_outer(F.concat(names.cast(entry), places)).alias("_f")).where("_f is not null").select(key, "_f.*")
 
 
+def found_in_parts(hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, name, place) like ``found_in``, for documents whose hits are too many for one array.
+
+    Hits that neither touch nor overlap have nothing to do with each other, so
+    a document's hits fall into runs, and each run is an array.
+    """
+    order = Window.partitionBy(key).orderBy("pos")
+    reach = F.max(F.col("pos") + F.coalesce("n", F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("pos") > reach, F.lit(True)).cast("int")
+    runs = hits.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(order))
+    each = runs.select(F.struct(F.col(key).alias("key"), "_run").alias("_k"), "pos", "n", "name_word", "place")
+    return found_in(each, "_k").select(F.col("_k.key").alias(key), "pos", "name", "place")
+
+
 def name_candidates(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, name): every full name in the text."""
     return found_in(hits, key).where(F.col("name").isNotNull()).select(key, "pos", "name")

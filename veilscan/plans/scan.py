@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.text import file_format
 from veilscan.operators.dedup import content_dedup, content_hash, first_of_copies
-from veilscan.operators.detect import MATCHES, Plugin, detect, explode_matches, merge_near_equal
+from veilscan.operators.detect import MATCHES, Plugin, clashing, detect, explode_matches, merge_near_equal, set_aside
 from veilscan.operators.names import name_matches
 from veilscan.operators.rollup import markup
 from veilscan.operators.rules import DEFAULT_RULES, Rule
@@ -36,6 +36,12 @@ def scan(
     """
     if context is not None and (names is not None or places is not None):
         raise ValueError("gazetteers need whole documents, not parts of them")
+    carried = [c for c in df.columns if c not in (text, context)]
+    if clashing(carried):
+        safe, named_back = set_aside(df, carried, text, context)
+        options = {"rules": rules, "plugins": plugins, "names": names, "places": places, "max_chars": max_chars}
+        options |= {"max_name_chars": max_name_chars, "similarity": similarity, "context": context and "context"}
+        return named_back(scan(safe, "text", f"kept{carried.index(key)}" if key in carried else key, **options), "markup")
     found = detect(df, text, rules, plugins, lines="kept", max_chars=max_chars, context=context)
     if names is not None or places is not None:
         extra = name_matches(df, text, key, names, places, max_name_chars)
