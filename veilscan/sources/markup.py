@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilscan.functions.matching import bound
 from veilscan.functions.text import strip
 
 # Elements whose text is not shown, comments and declarations. An unclosed
@@ -106,11 +107,6 @@ _OWN_QUOTE, _OWN_BACKSLASH = "\x01", "\x02"
 _LONG_NUMBER = "(?=[0-9]*[.eE])[0-9.]{17,}|[0-9.][eE][+-]?[0-9]{3}"
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once: a lambda's argument is no expression repeated in every use."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _replaced(text: Column, pattern: str, resolve: Callable[[Column], Column]) -> Column:
     """Every match replaced by what ``resolve`` makes of it, in one pass."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -145,17 +141,18 @@ def _decimal(number: Column) -> Column:
         sign = F.when(number.startswith("-"), "-").otherwise("")
         return F.concat(sign, F.when(d == "", "0.0").when((at < -3) | (at > 16), scientific).otherwise(positional))
 
-    return _bound(F.struct(digits.alias("digits"), point.alias("point")), written)
+    return bound(F.struct(digits.alias("digits"), point.alias("point")), written)
 
 
 def _between_strings(piece: Column) -> Column:
     """What stands between string literals: one space after commas and colons, numbers in their shortest form."""
-    tight = F.translate(piece, " \t\n\r", "")
-    number = _replaced(
-        tight, _NUMBER, lambda n: F.when(n.rlike("[.eE]"), _decimal(n)).when(n == "-0", "0").otherwise(n)
-    )
-    shortest = F.when(tight.rlike("[0-9][.eE]|-0"), number).otherwise(tight)
-    return F.replace(F.replace(shortest, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))
+
+    def shortest(tight: Column) -> Column:
+        number = _replaced(tight, _NUMBER, lambda n: F.when(n.rlike("[.eE]"), _decimal(n)).when(n == "-0", "0").otherwise(n))
+        return F.when(tight.rlike("[0-9][.eE]|-0"), number).otherwise(tight)
+
+    found = bound(F.translate(piece, " \t\n\r", ""), shortest)
+    return F.replace(F.replace(found, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))
 
 
 def _escape(found: Column) -> Column:
@@ -205,14 +202,19 @@ def json_parse(document: Column | str) -> Column:
     counts as empty.
     """
     document = F.col(document) if isinstance(document, str) else document
+    whole = document.cast("string")
     # Bytes that are no UTF-8 are left out.
-    text = F.coalesce(F.regexp_replace(F.make_valid_utf8(document.cast("string")), "\ufffd", ""), F.lit(""))
-    text = F.when(F.is_valid_utf8(document.cast("string")), document.cast("string")).otherwise(text)
-    valid = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-    valid &= F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}"))).isNotNull()
-    native = F.coalesce(valid & ~text.rlike(_LONG_NUMBER), F.lit(False))
-    own = F.struct(_one_line(text).alias("text"), F.lit(None).cast("string").alias("error"))
-    return F.when(native, own).otherwise(_judged_by_library(F.when(~native, text)))
+    lenient = F.coalesce(F.regexp_replace(F.make_valid_utf8(whole), "\ufffd", ""), F.lit(""))
+    text = F.when(F.is_valid_utf8(whole), whole).otherwise(lenient)
+
+    def refused(t: Column) -> Column:
+        inside = (F.concat(F.lit("["), t, F.lit("]")), F.concat(F.lit('{"":'), t, F.lit("}")))
+        return F.when(F.try_parse_json(inside[0]).isNull() | F.try_parse_json(inside[1]).isNull() | t.rlike(_LONG_NUMBER), t)
+
+    # The library sees what is refused, and gives nothing for the rest, so that nothing is parsed a second time.
+    judged = _judged_by_library(bound(text, refused))
+    native = judged["text"].isNull() & judged["error"].isNull()
+    return F.when(native, F.struct(bound(text, _one_line).alias("text"), F.lit(None).cast("string").alias("error"))).otherwise(judged)
 
 
 def json_text(document: Column) -> Column:
