@@ -25,6 +25,7 @@ from veilscan.plans.scan import matches_table, report, scan
 from veilscan.session import work_dir
 from veilscan.sources import corpus, encoding, files, markup, tables
 from veilscan.streaming.dedup import start_table_sink, stream_content_dedup
+from veilscan.streaming.new_contents import start_new_content_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -381,6 +382,21 @@ def stream_dedup(spark, sf):
     return spark.read.schema(verdicts.schema).parquet(f"{folder}/verdicts")
 
 
+@query("stream_new_contents", ORACLES["stream_content_dedup"])
+def stream_new_contents(spark, sf):
+    """Documents that arrive in several files, a batch each; only new contents are scanned."""
+    folder = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    _documents(spark, sf).withColumn("path", F.col("doc_id").cast("string")).repartition(4).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("doc_id long, text string, path string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    start_new_content_scan(stream, f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(
+        "file_hash",
+        F.array_join("markup.categories", ", ").alias("categories"),
+        F.size("markup.matches").cast("bigint").alias("total_matches"),
+        F.col("markup.protection_level").alias("protection_level"),
+    )
+
+
 # --- detectors -----------------------------------------------------------------
 
 
