@@ -51,6 +51,28 @@ def test_licence_texts_are_covered(spark):
     assert found[2] == [] and found[3] == []
 
 
+@pytest.mark.parametrize("label", sorted(licences.TEMPLATES))
+def test_every_template_is_found_by_its_words(label):
+    """Whole, with a word in twelve changed, and not with every fourth word changed (runs of three are too short)."""
+    scanner = licences.Scanner(licences.PHRASES, licences.TEMPLATES)
+    words = licences.split_words(licences.TEMPLATES[label])
+
+    def shares(text):
+        known = [scanner.numbers.get(w, -1) for w in text]
+        matches = []
+        for k in range(len(known) + 1):  # runs of known words, as the operator cuts them
+            if k == len(known) or known[k] < 0:
+                begin = max((i for i in range(k) if known[i] < 0), default=-1) + 1
+                matches += [(s + begin, n, t, p) for s, n, t, p in scanner.runs(known[begin:k])[1]]
+        return {scanner.labels[n]: share for n, _, _, share in scanner.chained(matches)}
+
+    assert shares(words)[label] == 1.0
+    changed = [w if k % 12 != 11 else "zzz" for k, w in enumerate(words)]
+    runs = [len(r.split()) for r in " ".join(changed).split("zzz")]
+    assert sum(n for n in runs if n >= scanner.least_match) / len(words) - 0.02 <= shares(changed)[label] <= 1.0
+    assert label not in shares([w if k % 4 != 3 else "zzz" for k, w in enumerate(words)])
+
+
 def test_matching_statistics_by_hand():
     rng = random.Random(9)
     lists = [[rng.randrange(3) for _ in range(rng.randint(1, 25))] for _ in range(6)]
@@ -138,7 +160,8 @@ def test_hilbert_curve_visits_neighbours():
     assert (np.abs(np.diff(places[order], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("cell_queries", [neighbours.CELL_QUERIES, 2])
+def test_neighbours_against_brute_force(spark, cell_queries):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 12)).astype(np.float32)
     x[2000:2400] = x[0]
@@ -146,7 +169,7 @@ def test_neighbours_against_brute_force(spark):
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
     rows += [(5000, None), (5100, [0.0] * 12), (5200, [float("nan")] * 12), (5300, [None] * 12), (5400, []), (None, [1.0] * 12), (7, rows[7][1])]
     vectors = spark.createDataFrame(rows, "id long, vector array<float>")
-    found = neighbours.nearest(vectors, "id % 100 = 0").collect()
+    found = neighbours.nearest(vectors, "id % 100 = 0", cell_queries=cell_queries).collect()
     ids, hits = np.arange(3000), 0
     for q in range(0, 3000, 100):
         own = sorted((r.rank, r.id, r.score) for r in found if r.query_id == q)

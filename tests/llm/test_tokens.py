@@ -49,6 +49,8 @@ def test_encode_and_decode(spark, frame, nothing, reference):
         assert digests[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert digests[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert tokens.encode(nothing, vocabulary).count() == 0
+    named = spark.createDataFrame([(1, [170], "old", 5)], "id long, ids array<int>, text string, `a.b` int")
+    assert [tuple(r) for r in tokens.decode(named, vocabulary).collect()] == [(1, [170], 5, "�")]
     broken = spark.createDataFrame([(1, [170]), (2, None)], "id long, ids array<int>")
     assert [r.text for r in tokens.decode(broken, vocabulary).orderBy("id").collect()] == ["�", ""]
 

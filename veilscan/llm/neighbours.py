@@ -25,6 +25,8 @@ CURVES, DIRECTIONS, BITS = 8, 8, 6
 RANGES, LEAST_IN_RANGE = 64, 32
 #: Vectors compared in one group; larger ranges are split by a hash.
 CELL_ROWS = 20_000
+#: Queries of one group, about; those of a cell with more are dealt into blocks, and its vectors meet each block.
+CELL_QUERIES = 4_096
 
 
 def hilbert_keys(places: np.ndarray, bits: int) -> np.ndarray:
@@ -156,6 +158,7 @@ def nearest(
     recall: float = 0.96,
     sample_rows: int = 20_000,
     sample_queries: int = 64,
+    cell_queries: int = CELL_QUERIES,
 ) -> DataFrame:
     """The ``count`` nearest rows of each query: ``(query_id, rank, id, score)``.
 
@@ -216,10 +219,12 @@ def nearest(
     windows = wanted.selectExpr("id", "vector", "posexplode(ranges) as (curve, place)").selectExpr(
         "id", "vector", "curve", f"explode(sequence(greatest(place - {width}, 0), least(place + {width}, {ranges - 1}))) as near"
     )
+    blocks = max(1, -(-asked.count() * min(2 * width + 1, ranges) // (ranges * cell_queries)))
     windows = windows.selectExpr("id", "vector", "curve", "near", every).selectExpr(
-        f"{cell('curve', 'near')} + salt as cell", "id", "vector"
+        f"({cell('curve', 'near')} + salt) * {blocks} + pmod(xxhash64(id), {blocks}) as cell", "id", "vector"
     )
-    found = _searched(cells, windows, count + 1, kind).distinct()
+    each = cells.selectExpr("cell", "id", "vector", f"explode(sequence(0L, {blocks - 1}L)) as block")
+    found = _searched(each.selectExpr(f"cell * {blocks} + block as cell", "id", "vector"), windows, count + 1, kind).distinct()
     best = found.withColumn("n", F.row_number().over(by_distance)).where(F.col("n") <= count + 1)
     # Rows of equal vectors: a query needs no more than the smallest ``count + 1`` ids of each.
     in_kind = Window.partitionBy("vector").orderBy("id")

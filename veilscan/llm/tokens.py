@@ -364,7 +364,11 @@ def id_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode(encoded: DataFrame, vocabulary) -> DataFrame:
-    """``(id, ids, ...)`` with the ``text`` they stand for; bytes that are no UTF-8 become replacement characters."""
+    """``(id, ids, ...)`` with the ``text`` they stand for; bytes that are no UTF-8 become replacement characters.
+
+    A column ``text`` of the input is replaced.
+    """
+    encoded = encoded.select(*(F.col(f"`{c}`") for c in encoded.columns if c.lower() != "text"))
     schema = encoded.withColumn("text", F.lit("")).schema
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
