@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from veilscan.sources import csv_blocks as csv_blocks_module
 from veilscan.sources.csv_blocks import csv_blocks, csv_records, ends_inside, records, unclosed
 from veilscan.sources.files import csv_text
 from veilscan.sources.tables import MISSING, distinct_names, read_csv_table, table_rows_text
@@ -96,6 +97,16 @@ def test_blocks_of_any_size(spark, tmp_path, small_blocks, size):
     assert table.count() == len(rows)
 
 
+def test_blocks_that_are_too_many_to_broadcast(spark, tmp_path, small_blocks, monkeypatch):
+    """Lines then meet their blocks by a shuffle, and are put in order again."""
+    monkeypatch.setattr(csv_blocks_module, "BROADCAST_ROWS", 0)
+    small_blocks(60)
+    rows = [(str(k), "x\n" * (k % 9) + f'"{k}", y') for k in range(60)]
+    text = "a,b\n" + "".join('%s,"%s"\n' % (a, b.replace('"', '""')) for a, b in rows)
+    (tmp_path / "a.csv").write_text(text)
+    assert sorted(tuple(r) for r in read_csv_table(spark, str(tmp_path)).collect()) == sorted(rows)
+
+
 def test_long_fields_and_many_quotes(spark, tmp_path, small_blocks):
     small_blocks(100_000)
     fields = ['"' + "x,\n" * 350_000 + '"', '"' + '""' * 100_000 + '"', "y" * 1_000_000, '"' + "z" * 3_000 + '"', ",".join("abc")]

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilscan.operators.names import is_small
+from veilscan.operators.names import BROADCAST_BYTES, BROADCAST_ROWS
 from veilscan.session import settled
 from veilscan.sources.encoding import CP1251_UNDEFINED
 
@@ -200,9 +200,9 @@ def unclosed(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("file").agg(last).where("b.ends").select("file", F.when(runs, F.col("b.owner")).otherwise(F.col("b.start")).alias("start"))
 
 
-def _with_blocks(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+def _with_blocks(lines: DataFrame, blocks: DataFrame, small: bool) -> DataFrame:
     """Lines with what is known of their block, in order within it."""
-    if is_small(blocks):
+    if small:
         return lines.join(F.broadcast(blocks), _BLOCK, "left")
     numbered = lines.withColumn("_line", F.monotonically_increasing_id())
     joined = numbered.join(blocks, _BLOCK, "left")
@@ -286,10 +286,13 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """``(file, encoding, fields)``: every record of the files but each file's first, the header; fields are bytes."""
     blocks = settled(csv_blocks(spark, path))
-    lines = _with_blocks(_lines(spark, path), blocks)
+    extent = (F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("file") + 64).alias("size"), F.bool_or(F.col("begins") | F.col("ends")).alias("open"))
+    known = blocks.agg(*extent).first()
+    small = known.n <= BROADCAST_ROWS and (known.size or 0) <= BROADCAST_BYTES
+    lines = _with_blocks(_lines(spark, path), blocks, small)
     schema = "file string, encoding string, fields array<binary>"
     whole = lines.mapInArrow(lambda batches: _split(batches, False), schema)
-    if blocks.where("begins or ends").isEmpty():
+    if not known.open:
         return whole
     parts = lines.where("begins or ends").mapInArrow(
         lambda batches: _split(batches, True), "file string, encoding string, owner bigint, start bigint, part binary, header boolean"
