@@ -29,7 +29,7 @@ LEAST_LETTERS, LEAST_TIMES = 5, 3
 #: Words of all lengths that the upper trees are fitted on, at most about.
 SAMPLE = 100_000
 #: Words of a cell, about.
-CELL = 2_000
+CELL = 16_000
 #: Words of a leaf of a cell's own tree.
 LEAF = 24
 #: a-z, and groups of the other letters. A letter's dimension may be shared: counts then differ less, never more.
@@ -235,26 +235,31 @@ def one_edit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return front + back >= size
 
 
-def cell_pairs(asking: pa.Array, there: pa.Array, ids: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of near words: those that ask (all of one length), and those of a cell (as long, or a letter longer).
+class Cell:
+    """The words of a cell, all of one length, with their tree."""
 
-    ``ids`` orders words of the same length, so that a pair is found from one side only.
-    """
-    x, y = letters_of(asking), letters_of(there)
-    down = 1 if x.shape[1] == y.shape[1] else 0
-    counts, own = letter_counts(asking), letter_counts(there)
-    found = []
-    for leaf, rows in reached(grow(own, np.arange(len(own)), LEAF), counts, np.arange(len(counts)), down):
-        a, b = np.repeat(rows, len(leaf.rows)), np.tile(leaf.rows, len(rows))
-        if down:
-            a, b = (side[ids[0][a] < ids[1][b]] for side in (a, b))
-        change = counts[a] - own[b]
-        a, b = (side[np.abs(change).sum(axis=1) <= 2] for side in (a, b))
-        near = one_edit(x[a], y[b])
-        found.append((a[near], b[near]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+    def __init__(self, words: pa.Array, places: np.ndarray) -> None:
+        self.letters, self.counts, self.places = letters_of(words), letter_counts(words), places
+        self.tree = grow(self.counts, np.arange(len(words)), LEAF)
+
+    def near(self, asking: pa.Array, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of near words: those that ask, as long or a letter shorter, and those of the cell.
+
+        ``places`` order words of the same length, so that a pair is found from one side only.
+        """
+        x, counts = letters_of(asking), letter_counts(asking)
+        down = 1 if x.shape[1] == self.letters.shape[1] else 0
+        found = [(np.zeros(0, np.int64),) * 2]
+        for leaf, rows in reached(self.tree, counts, np.arange(len(counts)), down):
+            a, b = np.repeat(rows, len(leaf.rows)), np.tile(leaf.rows, len(rows))
+            if down:
+                earlier = places[a] < self.places[b]
+                a, b = a[earlier], b[earlier]
+            close = np.abs(counts[a] - self.counts[b]).sum(axis=1) <= 2
+            a, b = a[close], b[close]
+            edited = one_edit(x[a], self.letters[b])
+            found.append((places[a[edited]], self.places[b[edited]]))
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def near_words(words: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
@@ -271,17 +276,17 @@ def near_words(words: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> Data
         lengths = pc.utf8_length(group.column("word")).to_numpy()
         place = np.arange(len(group))
         home = place[~asks]
-        parts = []
-        for asked in (size - 1, size):
-            rows = place[asks & (lengths == asked)]
-            # 16,384 words ask at a time: what is held is bounded by that and the cell.
-            for at in range(0, len(rows) if len(home) else 0, 1 << 14):
-                some = rows[at : at + (1 << 14)]
-                taken = [group.column("word").take(pa.array(r)).combine_chunks() for r in (some, home)]
-                # Code-point order is the order of the sorted rows; equal words are apart by rows only, and never one edit.
-                a, b = cell_pairs(*taken, (some, home))
-                parts.append((some[a], home[b]))
-        a, b = (pa.array(np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)])) for k in (0, 1))
+        parts = [(np.zeros(0, np.int64),) * 2]
+        if len(home):
+            # Code-point order is the order of the sorted rows; equal words are apart by rows only, and never one edit.
+            cell = Cell(group.column("word").take(pa.array(home)).combine_chunks(), home)
+            for asked in (size - 1, size):
+                rows = place[asks & (lengths == asked)]
+                # So many words ask at a time: what is held is bounded by that and the cell.
+                for at in range(0, len(rows), 1 << 14):
+                    some = rows[at : at + (1 << 14)]
+                    parts.append(cell.near(group.column("word").take(pa.array(some)).combine_chunks(), some))
+        a, b = (pa.array(np.concatenate([p[k] for p in parts])) for k in (0, 1))
         word, n = group.column("word"), group.column("n")
         return pa.table({"a": word.take(a), "n_a": n.take(a), "b": word.take(b), "n_b": n.take(b)})
 
