@@ -368,8 +368,9 @@ def decode(encoded: DataFrame, vocabulary) -> DataFrame:
 
     A column ``text`` of the input is replaced.
     """
-    encoded = encoded.select(*(F.col(f"`{c}`") for c in encoded.columns if c.lower() != "text"))
-    schema = encoded.withColumn("text", F.lit("")).schema
+    kept = [c for c in encoded.columns if c.lower() != "text"]
+    safe = encoded.select(*(F.col(f"`{c}`").alias("ids" if c == "ids" else f"kept{i}") for i, c in enumerate(kept)))
+    schema = safe.withColumn("text", F.lit("")).schema
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, text = vocabulary.value
@@ -380,7 +381,8 @@ def decode(encoded: DataFrame, vocabulary) -> DataFrame:
                 texts = [bytes(t).decode("utf-8", "replace") for t in strings.joined(*id_lists(batch.column("ids")))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
-    return encoded.mapInArrow(decoded, schema)
+    back = (F.col("ids" if c == "ids" else f"kept{i}").alias(c) for i, c in enumerate(kept))
+    return safe.mapInArrow(decoded, schema).select(*back, "text")
 
 
 def digests(encoded: DataFrame, vocabulary) -> DataFrame:
