@@ -66,20 +66,27 @@ def _starts(marked: Column) -> Column:
     return bound(lengths, lambda ls: F.slice(sums_before(ls), 2, F.size(ls)))
 
 
+def _where_marked(marked: Column, found: Column, kind: str) -> Column:
+    """Most texts hold no match, and are not taken apart."""
+    return F.when(F.contains(marked, F.lit(_MARK)), found).when(marked.isNotNull(), F.array().cast(kind))
+
+
 def find_lines(text: Column, pattern: str) -> Column:
     """Every match as (value, line), its 1-based line; the pattern runs once, and a match may itself hold newlines."""
-    return bound(
-        _marked(text, pattern),
-        lambda m: F.zip_with(_values(m), _lines(m), lambda v, n: F.struct(v.alias("value"), n.alias("line"))),
-    )
+
+    def found(m: Column) -> Column:
+        return F.zip_with(_values(m), _lines(m), lambda v, n: F.struct(v.alias("value"), n.alias("line")))
+
+    return bound(_marked(text, pattern), lambda m: _where_marked(m, found(m), "array<struct<value:string,line:int>>"))
 
 
 def find_places(text: Column, pattern: str) -> Column:
     """Every match as (value, line, start), the number of characters before it; the pattern runs once."""
-    return bound(
-        _marked(text, pattern),
-        lambda m: F.transform(
+
+    def found(m: Column) -> Column:
+        return F.transform(
             F.arrays_zip(_values(m).alias("value"), _lines(m).alias("line"), _starts(m).alias("start")),
             lambda x: F.struct(x["value"].alias("value"), x["line"].alias("line"), x["start"].alias("start")),
-        ),
-    )
+        )
+
+    return bound(_marked(text, pattern), lambda m: _where_marked(m, found(m), "array<struct<value:string,line:int,start:int>>"))
