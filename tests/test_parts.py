@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilscan.catalog import fixtures as fx
+from veilscan.functions import similarity
 from veilscan.functions.matching import find_places
 from veilscan.functions.similarity import leaders, leaders_of_rows
 from veilscan.plans.parts import part_matches, part_verdicts
@@ -85,3 +86,20 @@ def test_leaders_of_large_groups(spark, chunk):
     found = leaders_of_rows(spark.createDataFrame(rows, "k string, value string"), ["k"], chunk=chunk).collect()
     want = {g: sorted(leaders([v for k, v in rows if k == g and v is not None])) for g in ("a", "b", "c", "e", None)}
     assert {g: sorted(r.value for r in found if r.k == g) for g in want} == want and len(found) == sum(map(len, want.values()))
+
+
+def test_few_rounds_for_many_leaders(spark, monkeypatch):
+    """1,500 values, nearly all of them leaders: 94 rounds of 16 values, or a few that grow."""
+    steps, plain = [], similarity.settled
+
+    def counted(df):
+        steps.append(df)
+        assert len(steps) <= 30, "a round for each chunk"
+        return plain(df)
+
+    monkeypatch.setattr(similarity, "settled", counted)
+    rng = random.Random(5)
+    values = ["".join(rng.choice("абвгдежз") for _ in range(12)) for _ in range(1500)]
+    values += [v[:-1] for v in values[::10]]
+    found = leaders_of_rows(spark.createDataFrame([(1, v) for v in values], "k int, value string"), ["k"], chunk=16)
+    assert sorted(r.value for r in found.collect()) == sorted(leaders(values))

@@ -252,14 +252,18 @@ def leaders_of_rows(
     Groups of up to ``chunk`` distinct values are settled at once. Of a larger
     one, the first ``chunk`` values (the longest, then by code point) give their
     leaders; everything later is compared with those, in blocks side by side,
-    and what is near none of them goes on to the next round. So no task holds
-    more than a chunk of leaders and a block of values, and no pairs are
-    emitted. Null values are left out, null keys are a group like others.
+    and what is near none of them goes on to the next round, whose chunk is eight
+    times as large, up to ``CHUNK``. So no task holds more than a chunk of leaders
+    and a block of values, no pairs are emitted, and a small ``chunk`` does not
+    make for many rounds. Null values are left out, null keys are a group like others.
     """
+    largest = max(chunk, CHUNK)
     spare = F.struct(*(F.col(f"`{k}`").alias(k) for k in keys)).alias("g")
     left = values.select(spare, F.col(f"`{value}`").alias("value"))
     left = settled(left.where(F.col("value").isNotNull()).distinct())
     kind = left.schema["g"].dataType.simpleString()
+    # Few bytes, much work: by a number, so that these shuffles are not put together into one task.
+    spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.struct((-F.length("value")).alias("size"), F.col("value").alias("value"))
 
     def first(group: pa.Table) -> pa.Table:
@@ -275,7 +279,7 @@ def leaders_of_rows(
         return block.select(["g", "value"]).filter(pa.array(~near))
 
     def own_leaders(rows: DataFrame) -> DataFrame:
-        return rows.select("g", "value").groupBy("g").applyInArrow(first, f"g {kind}, value string")
+        return rows.select("g", "value").repartition(spread, "g").groupBy("g").applyInArrow(first, f"g {kind}, value string")
 
     parts = []
     while True:
@@ -296,8 +300,10 @@ def leaders_of_rows(
         rest = left.join(last, "g").where(place > F.col("last"))
         rest = rest.select("g", "value", F.pmod(F.xxhash64("value"), "blocks").cast("int").alias("block"))
         wide = found.join(last, "g").select("g", "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        compared = rest.groupBy("g", "block").cogroup(wide.groupBy("g", "block"))
+        sides = (side.repartition(spread, "g", "block").groupBy("g", "block") for side in (rest, wide))
+        compared = next(sides).cogroup(next(sides))
         left = settled(compared.applyInArrow(later, f"g {kind}, value string"))
+        chunk = min(8 * chunk, largest)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
