@@ -37,6 +37,19 @@ def test_prefixes_are_shared_in_the_trie(reference):
     assert encoder.encode(words) == {w: encoder.merged(w) for w in words}
 
 
+def test_short_words_side_by_side(reference):
+    """Nodes of a depth at once give what one walk gives, at the edge of ``SHORT`` and with zero bytes too."""
+    encoder = tokens.TrieEncoder(tokens.parse_vocabulary(tokens.load_vocabulary(PATH)))
+    rng = random.Random(4)
+    parts = [b"the", b"ing", b" in", b"tern", b"\x00", b"ab", b"\xc3\xa9", b"1", b"  ", b"zq"]
+    words = {b"".join(rng.choice(parts) for _ in range(rng.randint(0, 18))) for _ in range(2000)}
+    words |= {w[: tokens.SHORT + k] for w in words for k in (-1, 0, 1)}
+    short = [w for w in words if len(w) <= tokens.SHORT]
+    found = encoder.encode_short(short)
+    assert found == encoder.encode_long(short) and len(found) == len(short)
+    assert encoder.encode(list(words)) == {w: encoder.merged(w) for w in words}
+
+
 def test_encode_and_decode(spark, frame, nothing, reference):
     docs, texts = frame
     vocabulary = tokens.tokenizer(spark, PATH)

@@ -1,9 +1,10 @@
 """Byte-level BPE encoding by a trie, and decoding.
 
 A text falls into the tokenizer's words. The distinct words of a chunk that were not
-met before form a trie; it is walked depth first, and each node keeps the last token
-of its prefix's encoding, so that words with a common beginning share that work. A
-token may end a prefix if it may follow the last token of what stands before it.
+met before form a trie; each node keeps the last token of its prefix's encoding, so
+that words with a common beginning share that work. A token may end a prefix if it may
+follow the last token of what stands before it. All nodes of one depth are worked on
+side by side; what is left of long words is walked depth first.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import chunks, code_points, mix, span_hashes, utf8, worker_state
+from veilscan.llm.common import _BYTE_VALUE, _STEP, chunks, code_points, mix, span_hashes, utf8, worker_state
 
 #: Distinct words whose encodings a worker remembers; then it begins anew.
 REMEMBERED = 500_000
+#: Words of up to so many bytes are taken side by side.
+SHORT = 32
 #: Pairs of tokens that a worker remembers.
 REMEMBERED_PAIRS = 250_000
 
@@ -79,6 +82,54 @@ def load_vocabulary(path: str) -> str:
         return file.read()
 
 
+class TokenTable:
+    """Ids of tokens by a hash of their bytes, looked up for many at once.
+
+    A hash is a polynomial, so that of a stretch comes from those of two
+    prefixes. What finds its slot taken goes to the next table.
+    """
+
+    BITS = np.uint64(20)
+
+    def __init__(self, ids: dict[bytes, int]) -> None:
+        words, numbers = list(ids), np.fromiter(ids.values(), np.int32, len(ids))
+        sums = np.zeros(len(words), np.uint64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for at in range(int(sizes.max(initial=0))):
+            here = np.flatnonzero(sizes > at)
+            sums[here] = sums[here] * _STEP + _BYTE_VALUE[[words[i][at] for i in here.tolist()]]
+        keys = self.keys(sums, sizes)
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(keys):
+            slots, kept = np.unique(self.slots(keys, len(self.tables)), return_index=True)
+            table, known = np.full(1 << int(self.BITS), -1, np.int32), np.zeros(1 << int(self.BITS), np.uint64)
+            table[slots], known[slots] = numbers[kept], keys[kept]
+            self.tables.append((table, known))
+            left = np.ones(len(keys), bool)
+            left[kept] = False
+            keys, numbers = keys[left], numbers[left]
+
+    @staticmethod
+    def keys(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return mix(sums + sizes.astype(np.uint64) * _BYTE_VALUE[7])
+
+    def slots(self, keys: np.ndarray, number: int) -> np.ndarray:
+        return (keys >> np.uint64(11 * number)) & np.uint64((1 << int(self.BITS)) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The id of each key's token, -1 for none."""
+        out, open_ = np.full(len(keys), -1, np.int32), np.arange(len(keys))
+        for number, (table, known) in enumerate(self.tables):
+            slots = self.slots(keys[open_], number)
+            token = table[slots]
+            taken = token >= 0
+            open_, slots, token = open_[taken], slots[taken], token[taken]
+            same = known[slots] == keys[open_]
+            out[open_[same]] = token[same]
+            open_ = open_[~same]
+        return out
+
+
 class TrieEncoder:
     """Encodes words; what it learned about pairs of tokens is kept."""
 
@@ -89,6 +140,9 @@ class TrieEncoder:
         self.longest = vocabulary.longest
         self.width = max(self.contents) + 1
         self.follows: dict[int, bool] = {}
+        self.table = TokenTable({t: i for t, i in self.ids.items() if len(t) <= SHORT})
+        self.token_sizes = np.zeros(self.width, np.int64)
+        self.token_sizes[list(self.contents)] = [len(t) for t in self.contents.values()]
         ends: dict[bytes, set[int]] = {}
         for token in self.ids:
             for n in range(2, min(len(token), 4) + 1):
@@ -122,7 +176,77 @@ class TrieEncoder:
             self.follows[pair] = known
         return known
 
+    def allowed(self, pairs: np.ndarray) -> np.ndarray:
+        """``may_follow`` for numbers of pairs; -1 - token asks whether a token's bytes are encoded as that token."""
+        kinds, place = np.unique(pairs, return_inverse=True)
+        found = []
+        for pair in kinds.tolist():
+            ok = self.follows.get(pair)
+            if ok is None:
+                if pair >= 0:
+                    ok = self.may_follow(*divmod(pair, self.width))
+                else:
+                    ok = self.follows[pair] = self.merged(self.contents[-1 - pair]) == [-1 - pair]
+            found.append(ok)
+        return np.array(found, bool)[place]
+
+    def encode_short(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Each word's ids, for words of at most ``SHORT`` bytes: the trie's nodes depth by depth."""
+        words = sorted(words)
+        count = len(words)
+        sizes = np.fromiter(map(len, words), np.int64, count)
+        width = int(sizes.max(initial=0))
+        if not width:
+            return {w: [] for w in words}
+        letters = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(count, width)
+        same = np.zeros((count, width + 1), bool)
+        same[1:, :width] = letters[1:] == letters[:-1]
+        shared = same.argmin(axis=1)
+        shared[1:] = np.minimum(shared[1:], np.minimum(sizes[1:], sizes[:-1]))
+        prefix = np.zeros((count, width + 1), np.uint64)
+        for at in range(width):
+            prefix[:, at + 1] = prefix[:, at] * _STEP + _BYTE_VALUE[letters[:, at]]
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(width, _STEP)]), dtype=np.uint64)
+        last = np.full((count, width + 1), -1, np.int64)
+        for depth in range(1, width + 1):
+            node = np.flatnonzero((sizes >= depth) & (shared < depth))
+            # Tokens that end here, by where they begin: the first found is the longest.
+            sums = prefix[node, depth, None] - prefix[node, :depth] * powers[depth:0:-1]
+            keys = self.table.keys(sums, np.arange(depth, 0, -1))
+            tokens = self.table.find(keys.ravel()).reshape(keys.shape)
+            value, left = np.full(len(node), -1, np.int64), np.arange(len(node))
+            while len(left):
+                begin = (tokens[left] >= 0).argmax(axis=1)
+                token = tokens[left, begin].astype(np.int64)
+                if (token < 0).any():
+                    raise ValueError(f"no token ends {words[node[left[token.argmin()]]][:depth]!r}")
+                prior = last[node[left], begin]
+                ok = self.allowed(np.where(begin == 0, -1 - token, prior * self.width + token))
+                value[left[ok]] = token[ok]
+                tokens[left[~ok], begin[~ok]] = -1
+                left = left[~ok]
+            owner = np.zeros(count, np.int64)
+            owner[node] = np.arange(len(node))
+            owner = np.maximum.accumulate(owner)
+            here = np.flatnonzero(sizes >= depth)
+            last[here, depth] = value[owner[here]]
+        at, row, steps, rows = sizes.copy(), np.flatnonzero(sizes), [], []
+        while len(row):
+            token = last[row, at[row]]
+            steps.append(token)
+            rows.append(row)
+            at[row] -= self.token_sizes[token]
+            row = row[at[row] > 0]
+        order = np.argsort(np.concatenate(rows[::-1]), kind="stable")  # the last step is the first token
+        flat, owner = np.concatenate(steps[::-1])[order].tolist(), np.concatenate(rows[::-1])[order]
+        ends = np.searchsorted(owner, np.arange(count + 1)).tolist()
+        return {w: flat[a:b] for w, a, b in zip(words, ends, ends[1:], strict=False)}
+
     def encode(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Each word's ids."""
+        return self.encode_short([w for w in words if len(w) <= SHORT]) | self.encode_long([w for w in words if len(w) > SHORT])
+
+    def encode_long(self, words: list[bytes]) -> dict[bytes, list[int]]:
         """Each word's ids. Sorted words are a trie in depth-first order.
 
         ``last[d]`` is the last token of the encoding of the first ``d`` bytes
