@@ -55,3 +55,23 @@ def test_awkward_texts(spark, frame, nothing):
         assert kind.score(nothing, kind.fit(docs, labels)).count() == 0
         twice = kind.score(docs.union(docs), kind.fit(docs, labels))
         assert twice.count() == 2 * len(texts) and twice.distinct().count() == len(texts)
+
+
+def test_models_and_limits_of_all_texts(spark):
+    """4,000 texts of a language: the prototype is the sum of them all, and the limit a quantile of them all."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7))) for _ in range(8)) for _ in range(4000)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "id long, text string, lang string")
+    model = language.fit(docs)
+    whole = language.bundles(pa.array(texts), language.DIMENSIONS).sum(axis=0, dtype=np.float64)
+    assert np.allclose(model[1][0], whole / np.linalg.norm(whole), atol=1e-6)
+    found = {r.letters: r.limit for r in language.limits(docs, model).collect()}
+    scores = language.identify(docs.withColumn("letters", language.letter_class(F.col("text"))), model, carry=("letters",)).toPandas()
+    for letters, own in scores.groupby("letters").score:
+        if len(own) >= 50:
+            assert 0 <= own.quantile(0.005) - found[letters] <= 1 / language.STEPS + 1e-9

@@ -20,6 +20,8 @@ from veilscan.llm.common import chunks, code_points, worker_state
 DIMENSIONS = 1024
 UNKNOWN = "und"
 LONGEST = 8
+#: Steps of a cosine, as far as limits tell them apart.
+STEPS = 1 << 16
 _SPACE = 32
 
 
@@ -99,27 +101,18 @@ def bundles(texts: pa.Array, dimensions: int) -> np.ndarray:
     return out
 
 
-def fit(
-    labelled: DataFrame, per_language: int = 3000, max_languages: int = 1000, dimensions: int = DIMENSIONS
-) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, max_languages: int = 1000, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Language prototypes from ``(id, text, lang)``.
 
-    ``per_language`` bounds the sample: about so many texts of each language,
-    by a hash of ``id``, of the ``max_languages`` most frequent languages. The
+    Every text of the ``max_languages`` most frequent languages counts. The
     sums are made where the texts are; the driver gets one vector per language.
     Rows without a language are left out; without any labelled text there are
     no prototypes.
     """
     labelled = labelled.where(F.col("lang").isNotNull())
-    share = (
-        labelled.groupBy("lang")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.desc("_n"), "lang")
-        .limit(max_languages)
-        .select("lang", (F.lit(float(per_language)) / F.col("_n")).alias("_share"))
-    )
-    draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.join(F.broadcast(share), "lang").where(draw < F.col("_share")).select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    frequent = sizes.orderBy(F.desc("_n"), "lang").limit(max_languages).select("lang")
+    used = labelled.join(F.broadcast(frequent), "lang").select("lang", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -134,7 +127,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), vectors], ["lang", "vector"])
 
     rows = (
-        sample.mapInArrow(sums, "lang string, vector array<double>")
+        used.mapInArrow(sums, "lang string, vector array<double>")
         .select("lang", F.posexplode("vector").alias("at", "value"))
         .groupBy("lang", "at")
         .agg(F.sum("value").alias("value"))
@@ -190,28 +183,29 @@ def held_out() -> Column:
     return F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(5)) == 0
 
 
-def limits(held: DataFrame, model: tuple[list[str], np.ndarray], per_language: int = 1000, lost: float = 0.005, least: int = 50) -> DataFrame:
+def limits(held: DataFrame, model: tuple[list[str], np.ndarray], lost: float = 0.005, least: int = 50) -> DataFrame:
     """``(lang_pred, letters, limit)``: the cosine that all but ``lost`` of a language's texts of that length reach.
 
-    ``held`` is ``(id, text, lang)`` that the model has not seen; about
-    ``per_language`` texts of each language count, and of those the ones whose
-    language is recognised. Lengths of fewer than ``least`` texts are measured
-    by longer texts cut to them, and have no limit if these are as few.
+    ``held`` is ``(id, text, lang)`` that the model has not seen; every text
+    counts whose language is recognised. Lengths of fewer than ``least`` texts
+    are measured by longer texts cut to them, and have no limit if these are as
+    few. Cosines are rounded down to multiples of 1 / ``STEPS`` and counted, so
+    that a limit is found among so many values, however many texts there are.
     """
     held = held.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = held.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("_share"))
-    draw = F.pmod(F.xxhash64("id", F.lit("limit")), F.lit(1 << 30)) / float(1 << 30)
-    some = held.join(F.broadcast(share), "lang").where(draw < F.col("_share"))
     ends = F.filter(F.array(*(F.lit(3 << k) for k in range(LONGEST))), lambda n: n < F.length("text"))
     texts = F.transform(F.concat(F.array(F.lit(0)), ends), lambda n: F.struct((n == 0).alias("whole"), F.when(n == 0, F.col("text")).otherwise(F.substring("text", F.lit(1), n)).alias("text")))
-    pieces = some.select("id", "lang", F.explode(texts).alias("_p")).select("id", "lang", "_p.*")
+    pieces = held.select("id", "lang", F.explode(texts).alias("_p")).select("id", "lang", "_p.*")
     pieces = pieces.withColumn("letters", letter_class(F.col("text")))
     right = identify(pieces, model, carry=("lang", "letters", "whole")).where("lang = lang_pred")
-    found = right.groupBy("lang_pred", "letters").agg(
-        F.percentile(F.when(F.col("whole"), F.col("score")), lost).alias("own"),
-        F.percentile("score", lost).alias("any"),
-        F.count_if("whole").alias("n"),
-        F.count(F.lit(1)).alias("m"),
+    counted = right.groupBy("lang_pred", "letters", (F.floor(F.col("score") * STEPS) / STEPS).alias("score")).agg(
+        F.count_if("whole").alias("n"), F.count(F.lit(1)).alias("m")
+    )
+    found = counted.groupBy("lang_pred", "letters").agg(
+        F.percentile("score", lost, F.col("n")).alias("own"),
+        F.percentile("score", lost, F.col("m")).alias("any"),
+        F.sum("n").alias("n"),
+        F.sum("m").alias("m"),
     )
     limit = F.when(F.col("n") >= least, F.col("own")).when(F.col("m") >= least, F.col("any"))
     return found.select("lang_pred", "letters", limit.alias("limit"))
