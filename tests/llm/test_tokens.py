@@ -1,6 +1,8 @@
 """Encoding, decoding and packing against the tokenizers library and by their rules."""
 
 import hashlib
+import itertools
+import json
 import random
 import zlib
 from collections import Counter
@@ -50,6 +52,73 @@ def test_short_words_side_by_side(reference):
     assert encoder.encode(list(words)) == {w: encoder.merged(w) for w in words}
 
 
+def test_pairs_are_judged_side_by_side(monkeypatch):
+    """What may follow what is as plain merging has it, and takes no merging of single pairs."""
+    encoder = tokens.TrieEncoder(tokens.parse_vocabulary(tokens.load_vocabulary(PATH)))
+    rng, width = random.Random(6), encoder.width
+    by_size = sorted(encoder.contents, key=lambda i: len(encoder.contents[i]))
+    by_size = [i for i in by_size if encoder.contents[i] in encoder.ids]
+    ids = [*by_size[:700], *rng.sample(by_size, 1500)]
+    pairs = np.unique([rng.choice(ids) * width + rng.choice(ids) for _ in range(20_000)])
+    pairs = np.concatenate([pairs, -1 - np.array(ids)])
+    contents = encoder.contents
+    wanted = [
+        encoder.merged(contents[-1 - p]) == [-1 - p] if p < 0
+        else encoder.merged(contents[p // width] + contents[p % width]) == [*divmod(p, width)]
+        for p in pairs.tolist()
+    ]
+    words = [b"".join(contents[rng.choice(ids)] for _ in range(3)) for _ in range(2000)]
+    words = [w for w in words if len(w) <= tokens.SHORT]
+    plain = {w: encoder.merged(w) for w in words}
+    calls = []
+    monkeypatch.setattr(encoder, "merged", lambda content, merged=encoder.merged: calls.append(content) or merged(content))
+    for _ in range(2):
+        assert encoder.allowed(pairs).tolist() == wanted
+    assert 0 < sum(wanted) < len(wanted)
+    assert encoder.encode_short(words) == plain
+    assert not calls
+
+
+@pytest.mark.parametrize(
+    "merges",
+    [["a b", "b c", "ab c", "a bc"], ["ab c", "a b", "b c"], ["a b", "bc a"], ["a a", "aa a", "aa aa", "b a", "a b", "ba b"], []],
+)
+def test_unusual_vocabularies(merges):
+    """A token with two merges, one whose parts come later, one that no merge makes, equal letters, no merges."""
+    made = dict.fromkeys(["a", "b", "c", *("".join(m.split()) for m in merges), *(p for m in merges for p in m.split())])
+    text = json.dumps({"model": {"vocab": {t: i for i, t in enumerate(made)}, "merges": merges}})
+    encoder = tokens.TrieEncoder(tokens.parse_vocabulary(text))
+    words = [bytes(w) for n in range(7) for w in itertools.product(b"abc", repeat=n)]
+    pairs = np.arange(len(made) ** 2)
+    contents = encoder.contents
+    wanted = [encoder.merged(contents[p // len(made)] + contents[p % len(made)]) == [*divmod(p, len(made))] for p in pairs.tolist()]
+    assert encoder.allowed(pairs).tolist() == wanted
+    assert encoder.neighbours.plain == (merges not in (["a b", "b c", "ab c", "a bc"], ["ab c", "a b", "b c"]))
+    if encoder.neighbours.plain:
+        assert encoder.encode_short(words) == {w: encoder.merged(w) for w in words}
+
+
+def test_words_that_come_again_stay(monkeypatch, reference):
+    """Where a worker remembers too many words, only those that did not come again are forgotten."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 500)
+    learned, learn = Counter(), tokens.Memory.learn
+    monkeypatch.setattr(tokens.Memory, "learn", lambda self, keys, *more: learned.update(keys.tolist()) or learn(self, keys, *more))
+    memory = tokens.Memory(tokens.parse_vocabulary(tokens.load_vocabulary(PATH)))
+    common = " ".join(f"k{chr(97 + i // 26)}{chr(97 + i % 26)}é" for i in range(200))
+    long = "ab" * tokens.SHORT
+    for k in range(8):
+        rare = " ".join("".join(chr(97 + int(d)) for d in str(1000 * k + i)) + "x" for i in range(200))
+        texts = [f"{common} {long}", rare]
+        ids, counts = tokens.encode_batch(memory, pa.array(texts))
+        wanted = [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == wanted
+        assert len(memory.keys) <= 500 and len(memory.ids) == memory.sizes.sum()
+    assert sum(n == 1 for n in learned.values()) == len(learned) == 201 + 8 * 200
+    # More words at once than are remembered.
+    texts = [" ".join(f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(676))]
+    assert tokens.encode_batch(memory, pa.array(texts))[0].tolist() == reference.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_encode_and_decode(spark, frame, nothing, reference):
     docs, texts = frame
     vocabulary = tokens.tokenizer(spark, PATH)

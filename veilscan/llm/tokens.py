@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from veilscan.llm.common import _BYTE_VALUE, _STEP, chunks, code_points, mix, span_hashes, utf8, worker_state
 
-#: Distinct words whose encodings a worker remembers; then it begins anew.
+#: Distinct words whose encodings a worker remembers; then it forgets those that did not come again.
 REMEMBERED = 500_000
 #: Words of up to so many bytes are taken side by side.
 SHORT = 32
@@ -82,27 +82,15 @@ def load_vocabulary(path: str) -> str:
         return file.read()
 
 
-class TokenTable:
-    """Ids of tokens by a hash of their bytes, looked up for many at once.
+class KeyTable:
+    """Numbers from 0 by 64-bit hashes, looked up for many at once. What finds its slot taken goes to the next table."""
 
-    A hash is a polynomial, so that of a stretch comes from those of two
-    prefixes. What finds its slot taken goes to the next table.
-    """
-
-    BITS = np.uint64(20)
-
-    def __init__(self, ids: dict[bytes, int]) -> None:
-        words, numbers = list(ids), np.fromiter(ids.values(), np.int32, len(ids))
-        sums = np.zeros(len(words), np.uint64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for at in range(int(sizes.max(initial=0))):
-            here = np.flatnonzero(sizes > at)
-            sums[here] = sums[here] * _STEP + _BYTE_VALUE[[words[i][at] for i in here.tolist()]]
-        keys = self.keys(sums, sizes)
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         while len(keys):
-            slots, kept = np.unique(self.slots(keys, len(self.tables)), return_index=True)
-            table, known = np.full(1 << int(self.BITS), -1, np.int32), np.zeros(1 << int(self.BITS), np.uint64)
+            size = 8 << len(keys).bit_length()
+            slots, kept = np.unique(self.slots(keys, len(self.tables), size), return_index=True)
+            table, known = np.full(size, -1, np.int32), np.zeros(size, np.uint64)
             table[slots], known[slots] = numbers[kept], keys[kept]
             self.tables.append((table, known))
             left = np.ones(len(keys), bool)
@@ -110,17 +98,14 @@ class TokenTable:
             keys, numbers = keys[left], numbers[left]
 
     @staticmethod
-    def keys(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return mix(sums + sizes.astype(np.uint64) * _BYTE_VALUE[7])
-
-    def slots(self, keys: np.ndarray, number: int) -> np.ndarray:
-        return (keys >> np.uint64(11 * number)) & np.uint64((1 << int(self.BITS)) - 1)
+    def slots(keys: np.ndarray, number: int, size: int) -> np.ndarray:
+        return (keys >> np.uint64(11 * number)) & np.uint64(size - 1)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The id of each key's token, -1 for none."""
+        """The number of each key, -1 for none."""
         out, open_ = np.full(len(keys), -1, np.int32), np.arange(len(keys))
         for number, (table, known) in enumerate(self.tables):
-            slots = self.slots(keys[open_], number)
+            slots = self.slots(keys[open_], number, len(table))
             token = table[slots]
             taken = token >= 0
             open_, slots, token = open_[taken], slots[taken], token[taken]
@@ -130,6 +115,83 @@ class TokenTable:
         return out
 
 
+class TokenTable(KeyTable):
+    """Ids of tokens by a hash of their bytes: a polynomial, so that of a stretch comes from those of two prefixes."""
+
+    def __init__(self, ids: dict[bytes, int]) -> None:
+        words, numbers = list(ids), np.fromiter(ids.values(), np.int32, len(ids))
+        sums = np.zeros(len(words), np.uint64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for at in range(int(sizes.max(initial=0))):
+            here = np.flatnonzero(sizes > at)
+            sums[here] = sums[here] * _STEP + _BYTE_VALUE[[words[i][at] for i in here.tolist()]]
+        super().__init__(self.keys(sums, sizes), numbers)
+
+    @staticmethod
+    def keys(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return mix(sums + sizes.astype(np.uint64) * _BYTE_VALUE[7])
+
+
+class Neighbours:
+    """Which tokens may follow which, for many pairs at once.
+
+    The last merges of two tokens are taken back, the later one first. The pair
+    stands if on that way no merge across its border comes before the one that
+    was taken back. ``plain`` says whether the vocabulary is such that this
+    holds: one merge for each token, of tokens made earlier.
+    """
+
+    SLOTS = 18
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.width = width = max(vocabulary.contents) + 1
+        self.rank, self.first, self.second = (np.full(width, -1, np.int64) for _ in range(3))
+        pairs = np.array(list(vocabulary.merges), np.int64).reshape(-1, 2)
+        ranks, made = np.array(list(vocabulary.merges.values()), np.int64).reshape(-1, 2).T
+        self.rank[made], self.first[made], self.second[made] = ranks, pairs[:, 0], pairs[:, 1]
+        earlier = (self.rank[pairs] < ranks[:, None]).all()
+        self.plain = bool(earlier) and len(np.unique(made)) == len(made)
+        self.ranks = KeyTable(mix((pairs[:, 0] * width + pairs[:, 1]).astype(np.uint64)), ranks.astype(np.int32))
+        #: Whether a token's bytes are encoded as that token.
+        self.whole = np.zeros(width, bool)
+        self.whole[[i for t, i in vocabulary.token_ids.items() if len(t) == 1]] = True
+        stands = made[self.stand(pairs[:, 0], pairs[:, 1], ranks)] if self.plain else made[:0]
+        for token in stands[np.argsort(self.rank[stands])].tolist():
+            self.whole[token] = self.whole[self.first[token]] and self.whole[self.second[token]]
+        self.known = np.full(1 << self.SLOTS, -1, np.int64)
+
+    def stand(self, one: np.ndarray, two: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Whether no merge below ``limit`` joins anything across the border of two tokens, which are encoded as themselves."""
+        out, left = np.ones(len(one), bool), np.arange(len(one))
+        while len(left):
+            rank = self.ranks.find(mix((one * self.width + two).astype(np.uint64)))
+            joined = (rank >= 0) & (rank < limit)
+            out[left[joined]] = False
+            before, after = self.rank[one], self.rank[two]
+            go = ~joined & ((before >= 0) | (after >= 0))
+            left, one, two, before, after = left[go], one[go], two[go], before[go], after[go]
+            later = before > after
+            # Of equal ranks the leftmost merge is the earlier one.
+            limit = np.where(later, before, after + 1)
+            one, two = np.where(later, self.second[one], one), np.where(later, two, self.first[two])
+        return out
+
+    def allowed(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each pair (``first * width + second``) are encoded as just these two."""
+        slots = (mix(pairs.astype(np.uint64)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        known = self.known[slots]
+        out, missed = (known & 1).astype(bool), np.flatnonzero(known >> 1 != pairs)
+        if len(missed):
+            kinds, at, place = np.unique(pairs[missed], return_index=True, return_inverse=True)
+            one, two = kinds // self.width, kinds % self.width
+            found = self.whole[one] & self.whole[two]
+            sure = np.flatnonzero(found)
+            found[sure] = self.stand(one[sure], two[sure], np.full(len(sure), np.iinfo(np.int64).max))
+            self.known[slots[missed[at]]] = 2 * kinds + found
+            out[missed] = found[place]
+        return out
+
+
 class TrieEncoder:
     """Encodes words; what it learned about pairs of tokens is kept."""
 
@@ -140,6 +202,7 @@ class TrieEncoder:
         self.longest = vocabulary.longest
         self.width = max(self.contents) + 1
         self.follows: dict[int, bool] = {}
+        self.neighbours = Neighbours(vocabulary)
         self.table = TokenTable({t: i for t, i in self.ids.items() if len(t) <= SHORT})
         self.token_sizes = np.zeros(self.width, np.int64)
         self.token_sizes[list(self.contents)] = [len(t) for t in self.contents.values()]
@@ -178,6 +241,12 @@ class TrieEncoder:
 
     def allowed(self, pairs: np.ndarray) -> np.ndarray:
         """``may_follow`` for numbers of pairs; -1 - token asks whether a token's bytes are encoded as that token."""
+        if self.neighbours.plain:
+            alone = pairs < 0
+            out = np.empty(len(pairs), bool)
+            out[alone] = self.neighbours.whole[-1 - pairs[alone]]
+            out[~alone] = self.neighbours.allowed(pairs[~alone])
+            return out
         kinds, place = np.unique(pairs, return_inverse=True)
         found = []
         for pair in kinds.tolist():
@@ -191,14 +260,24 @@ class TrieEncoder:
         return np.array(found, bool)[place]
 
     def encode_short(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Each word's ids, for words of at most ``SHORT`` bytes: the trie's nodes depth by depth."""
-        words = sorted(words)
-        count = len(words)
-        sizes = np.fromiter(map(len, words), np.int64, count)
-        width = int(sizes.max(initial=0))
+        """Each word's ids, for words of at most ``SHORT`` bytes."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat, starts, counts = self.short_ids(np.frombuffer(b"".join(words), np.uint8), sizes)
+        return {w: flat[a : a + n].tolist() for w, a, n in zip(words, starts.tolist(), counts.tolist(), strict=True)}
+
+    def short_ids(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words of at most ``SHORT`` bytes that stand on end: the trie's nodes depth by depth.
+
+        Returns all ids, where each word's begin, and how many it has.
+        """
+        count, width = len(sizes), int(sizes.max(initial=0))
         if not width:
-            return {w: [] for w in words}
-        letters = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(count, width)
+            return np.zeros(0, np.int64), np.zeros(count, np.int64), np.zeros(count, np.int64)
+        eights = -(-width // 8)
+        letters = np.zeros((count, 8 * eights), np.uint8)
+        letters[np.arange(8 * eights) < sizes[:, None]] = data
+        order = np.lexsort(letters.view(">u8").astype(np.uint64).T[::-1])
+        letters, sizes = letters[order, :width], sizes[order]
         same = np.zeros((count, width + 1), bool)
         same[1:, :width] = letters[1:] == letters[:-1]
         shared = same.argmin(axis=1)
@@ -219,7 +298,7 @@ class TrieEncoder:
                 begin = (tokens[left] >= 0).argmax(axis=1)
                 token = tokens[left, begin].astype(np.int64)
                 if (token < 0).any():
-                    raise ValueError(f"no token ends {words[node[left[token.argmin()]]][:depth]!r}")
+                    raise ValueError(f"no token ends {letters[node[left[token.argmin()]], :depth].tobytes()!r}")
                 prior = last[node[left], begin]
                 ok = self.allowed(np.where(begin == 0, -1 - token, prior * self.width + token))
                 value[left[ok]] = token[ok]
@@ -237,10 +316,12 @@ class TrieEncoder:
             rows.append(row)
             at[row] -= self.token_sizes[token]
             row = row[at[row] > 0]
-        order = np.argsort(np.concatenate(rows[::-1]), kind="stable")  # the last step is the first token
-        flat, owner = np.concatenate(steps[::-1])[order].tolist(), np.concatenate(rows[::-1])[order]
-        ends = np.searchsorted(owner, np.arange(count + 1)).tolist()
-        return {w: flat[a:b] for w, a, b in zip(words, ends, ends[1:], strict=False)}
+        owner = np.concatenate(rows[::-1])
+        flat = np.concatenate(steps[::-1])[np.argsort(owner, kind="stable")]  # the last step is the first token
+        counts = np.zeros((2, count), np.int64)
+        counts[0, order] = found = np.bincount(owner, minlength=count)
+        counts[1, order] = np.cumsum(found) - found
+        return flat, counts[1], counts[0]
 
     def encode(self, words: list[bytes]) -> dict[bytes, list[int]]:
         """Each word's ids."""
@@ -369,19 +450,48 @@ class Memory:
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
-
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > REMEMBERED:
-            self.forget()
-        encoded = self.encoder.encode(words)
-        lists = [encoded[w] for w in words]
-        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-        starts = len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))])
-        at = np.searchsorted(self.keys, keys)  # keys come sorted
+        self.again = np.zeros(0, bool)
+
+    def keep(self, kept: np.ndarray) -> None:
+        """Only some of the words; they have to come again before the next time."""
+        sizes = self.sizes[kept]
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        self.ids = self.ids[np.arange(sizes.sum()) + np.repeat(self.starts[kept] - starts, sizes)]
+        self.keys, self.starts, self.sizes, self.again = self.keys[kept], starts, sizes, np.zeros(len(sizes), bool)
+
+    def learn(self, keys: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> None:
+        """Words by their hashes, which ascend; ``codes`` has their code points on end."""
+        data = np.frombuffer(codes.tobytes().decode("utf-32-le").encode(), np.uint8)
+        edges = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))[np.concatenate([[0], np.cumsum(lengths)])]
+        bytes_of = np.diff(edges)
+        short = bytes_of <= SHORT
+        ids, begins, counts = self.encoder.short_ids(data[np.repeat(short, bytes_of)], bytes_of[short])
+        starts, sizes = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
+        starts[short], sizes[short] = begins, counts
+        lists, at = [ids], len(ids)
+        if not short.all():
+            long = {i: data[edges[i] : edges[i + 1]].tobytes() for i in np.flatnonzero(~short).tolist()}
+            encoded = self.encoder.encode_long(list(long.values()))
+            for i, word in long.items():
+                lists.append(np.array(encoded[word]))
+                starts[i], sizes[i] = at, len(lists[-1])
+                at += len(lists[-1])
+        starts += len(self.ids)
+        self.ids = np.concatenate([self.ids, *(x.astype(np.int32) for x in lists)])
+        at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
         self.starts = np.insert(self.starts, at, starts)
         self.sizes = np.insert(self.sizes, at, sizes)
+        self.again = np.insert(self.again, at, False)
+
+    def unknown(self, kinds: np.ndarray) -> np.ndarray:
+        """Which words, by their hashes, are not remembered; the others have come again."""
+        if not len(self.keys):
+            return np.ones(len(kinds), bool)
+        at = np.minimum(np.searchsorted(self.keys, kinds), len(self.keys) - 1)
+        met = self.keys[at] == kinds
+        self.again[at[met]] = True
+        return ~met
 
     def encode(self, codes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and how many each text has."""
@@ -389,15 +499,18 @@ class Memory:
         ends = np.append(starts[1:], len(codes)) if len(starts) else starts
         hashes = span_hashes(mix(codes.astype(np.uint64) + np.uint64(7)), starts, ends)
         kinds, first, word = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, kinds), max(len(self.keys) - 1, 0))
-        fresh = self.keys[at] != kinds if len(self.keys) else np.ones(len(kinds), bool)
-        if fresh.any() and len(self.keys) + int(fresh.sum()) > REMEMBERED:
-            self.forget()
-            fresh = np.ones(len(kinds), bool)
+        fresh = self.unknown(kinds)
+        if len(self.keys) + int(fresh.sum()) > REMEMBERED:
+            self.keep(self.again)
+            fresh = self.unknown(kinds)
+            if len(self.keys) + int(fresh.sum()) > REMEMBERED:
+                self.forget()
+                fresh = self.unknown(kinds)
         if fresh.any():
-            raw = codes.tobytes()
-            spans = zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)
-            self.learn(kinds[fresh], [raw[4 * a : 4 * b].decode("utf-32-le").encode() for a, b in spans])
+            begins = starts[first[fresh]]
+            lengths = ends[first[fresh]] - begins
+            index = np.arange(lengths.sum()) + np.repeat(begins - np.cumsum(lengths) + lengths, lengths)
+            self.learn(kinds[fresh], codes[index], lengths)
         at = np.searchsorted(self.keys, kinds)[word]
         sizes = self.sizes[at].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(sizes)])
