@@ -41,17 +41,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if not model[0]:
         return docs
     limits = cut(language.limits(labelled.where(language.held_out()), model))
-    rows = with_row(docs, id="doc_id", text="text").withColumn("letters", language.letter_class(F.col("text")))
-    found = language.identify(rows, model, carry=("row", "letters")).join(F.broadcast(limits), ["lang_pred", "letters"], "left")
+    rows = with_row(docs, ("text",), id="doc_id", text="text").withColumn("letters", language.letter_class(F.col("text")))
+    found = language.identify(rows, model, carry=("row", "text", "letters")).join(F.broadcast(limits), ["lang_pred", "letters"], "left")
     near = F.col("score") >= F.coalesce("limit", F.lit(LEAST_COSINE))
-    return kept_rows(found, (F.col("lang_pred") != language.UNKNOWN) & near)
+    return kept_rows(found, (F.col("lang_pred") != language.UNKNOWN) & near, docs.columns, ("text",))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the limit, by a model of those that have a label."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
     model = toxicity.fit(_used(docs), labels)
-    return kept_rows(toxicity.score(with_row(docs, id="doc_id", text="text"), model, carry=("row",)), F.col("score") < TOXIC)
+    scored = toxicity.score(with_row(docs, ("text",), id="doc_id", text="text"), model, carry=("row", "text"))
+    return kept_rows(scored, F.col("score") < TOXIC, docs.columns, ("text",))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,56 @@ def test_models_and_limits_of_all_texts(spark):
     for letters, own in scores.groupby("letters").score:
         if len(own) >= 50:
             assert 0 <= own.quantile(0.005) - found[letters] <= 1 / language.STEPS + 1e-9
+
+
+def test_bundles_need_little_memory(spark):
+    """A chunk of many kinds of trigrams: the vectors and counts at a time are bounded, the sums are those of text by text."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    texts = ["".join(map(chr, row)) for row in rng.integers(0x4E00, 0x4E00 + 400, (400, 100))]
+    language.bundles(pa.array(texts[:2]), 1024)
+    tracemalloc.start()
+    found = language.bundles(pa.array(texts), 1024)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(language.trigrams(pa.array(texts))[2]) > 16384 and peak < 60e6
+    alone = np.concatenate([language.bundles(pa.array([t]), 1024) for t in texts])
+    assert np.array_equal(found, alone)
+
+
+def test_many_short_texts_come_in_slices():
+    import pyarrow as pa
+
+    from veilscan.llm.common import chunks
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab"] * 10_000)], ["text"])
+    sizes = [c.num_rows for c in chunks(iter([batch]), rows=language.TEXTS)]
+    assert sum(sizes) == 10_000 and max(sizes) == language.TEXTS
+
+
+def test_workers_keep_one_operators_state():
+    from veilscan.llm.common import worker_state
+
+    made = []
+    for operator in ("tokens", "tokens", "language", "tokens"):
+        worker_state(operator, "words", lambda operator=operator: made.append(operator))
+    assert made == ["tokens", "language", "tokens"]
+    worker_state("none", "nothing", object)
+
+
+@pytest.mark.parametrize("name", ["known_language", "not_toxic"])
+def test_texts_go_to_python_once(spark, monkeypatch, name):
+    import corpus_pipeline
+
+    sent = []
+    for module, function in ((language, "identify"), (toxicity, "score")):
+        whole = getattr(module, function)
+        monkeypatch.setattr(module, function, lambda docs, *a, whole=whole, **b: sent.append(docs.schema) or whole(docs, *a, **b))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    after = getattr(corpus_pipeline, name)(spark, docs, SF)
+    assert after.schema.names == docs.columns and after.exceptAll(docs).isEmpty() and after.count() > 800
+    assert "text" not in sent[-1]["row"].dataType.names

@@ -214,7 +214,7 @@ def tokenizers(spark: SparkSession, vocabulary_path: str, model_path: str):
 
 def _aligner(value: tuple[str, str, bytes]) -> Aligner:
     name, text, model = value
-    return worker_state(f"aligner_{name}", lambda: Aligner(text, model))
+    return worker_state("tokens", f"aligner_{name}", lambda: Aligner(text, model))
 
 
 def align(docs: DataFrame, both) -> DataFrame:

@@ -41,22 +41,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_row(df: DataFrame, **columns: str) -> DataFrame:
+def with_row(df: DataFrame, apart: tuple[str, ...] = (), **columns: str) -> DataFrame:
     """The columns used, under the operators' names, and the whole row as ``row``.
 
-    Whatever other columns of the input are called, they can't clash.
+    Whatever other columns of the input are called, they can't clash. Used
+    columns of the input that are named in ``apart`` are not in ``row`` too, so
+    that long texts go to Python once; ``kept_rows`` needs them carried along
+    under their own names.
     """
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in apart])
+    return df.select(row.alias("row"), *[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
 
 
-def kept_rows(df: DataFrame, condition: Column | str) -> DataFrame:
-    """The rows of ``with_row`` that fulfil a condition, in their own columns."""
-    names = df.schema["row"].dataType.names
-    return df.where(condition).select(*[F.col("row")[n].alias(n) for n in names])
+def kept_rows(df: DataFrame, condition: Column | str, names: list[str], apart: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``with_row`` that fulfil a condition, in their own columns ``names``, of which some were ``apart``."""
+    return df.where(condition).select(*[(F.col(c) if c in apart else F.col("row")[c]).alias(c) for c in names])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``limit`` bytes of text, or of one row."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``limit`` bytes of text (and ``rows`` rows), or of one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -66,6 +69,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            stop = min(stop, start + (rows or batch.num_rows))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -157,12 +161,17 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np
     return hashes, text, first, (data, starts, ends)
 
 
-def worker_state(name: str, make: Callable[[], object]) -> object:
-    """An object that lives as long as the Python worker, whatever tasks it runs."""
+def worker_state(operator: str, name: str, make: Callable[[], object]) -> object:
+    """An object that the Python worker keeps from task to task, until it gets a task of another operator.
+
+    Workers go from one stage to the next; what all operators keep would add up.
+    """
     home = sys.modules.setdefault("_veilscan_worker", types.ModuleType("_veilscan_worker"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, "operator", None) != operator:
+        home.operator, home.kept = operator, {}
+    if name not in home.kept:
+        home.kept[name] = make()
+    return home.kept[name]
 
 
 def fresh_name(prefix: str) -> str:

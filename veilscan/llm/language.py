@@ -22,6 +22,10 @@ UNKNOWN = "und"
 LONGEST = 8
 #: Steps of a cosine, as far as limits tell them apart.
 STEPS = 1 << 16
+#: Trigrams whose vectors, and numbers in a table of texts by trigrams, that are worked on at a time.
+BLOCK, CELLS = 2048, 1 << 20
+#: Texts that get their vectors at a time, however short they are.
+TEXTS = 2048
 _SPACE = 32
 
 
@@ -30,7 +34,7 @@ def _letter_table() -> np.ndarray:
 
 
 def _letter_vector(code: int, dimensions: int) -> np.ndarray:
-    vectors = worker_state(f"letters_{dimensions}", dict)
+    vectors = worker_state("language", f"letters_{dimensions}", dict)
     if code not in vectors:
         bits = np.random.default_rng([0x5EED, code]).integers(0, 2, dimensions)
         vectors[code] = (2 * bits - 1).astype(np.float32)
@@ -44,7 +48,7 @@ def _numbered(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     seen = np.zeros(size, bool)
     seen[values] = True
     kinds = np.flatnonzero(seen)
-    place = np.zeros(size, np.int64)
+    place = np.zeros(size, np.int32)
     place[kinds] = np.arange(len(kinds))
     return kinds, place[values]
 
@@ -55,7 +59,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Letters are lower-cased; whatever lies between them, or at an end, is one space.
     """
     codes, starts = code_points(texts, lower=True)
-    letters = worker_state("letter_table", _letter_table)
+    letters = worker_state("language", "letter_table", _letter_table)
     text = np.repeat(np.arange(len(texts)), np.diff(starts))
     inside = letters[codes]
     fresh = np.diff(text, prepend=-1) != 0
@@ -85,14 +89,18 @@ def bundles(texts: pa.Array, dimensions: int) -> np.ndarray:
         return out
     used, place = np.unique(shape, return_inverse=True)
     base = np.stack([_letter_vector(int(c), dimensions) for c in used])
+    second, third = np.roll(base, 1, axis=1), np.roll(base, 2, axis=1)
     place = place.reshape(shape.shape)
-    kinds = len(shape)
-    for low in range(0, kinds, 16384):  # bounded, however many letters a script has
-        part = place[low : low + 16384]
-        bound = np.roll(base, 2, axis=1)[part[:, 0]] * np.roll(base, 1, axis=1)[part[:, 1]] * base[part[:, 2]]
-        here = slice(None) if kinds <= 16384 else (gram >= low) & (gram < low + 16384)
-        rows, columns = text[here], gram[here] - low
-        step = max(1, (4 << 20) // len(part))
+    block = (gram // BLOCK).astype(np.min_scalar_type(len(shape) // BLOCK))
+    order = np.argsort(block, kind="stable")  # the places of a block's trigrams, text by text
+    ends = np.cumsum(np.bincount(block, minlength=-(-len(shape) // BLOCK)))
+    for number, (low, high) in enumerate(zip([0, *ends], ends)):
+        rows, columns = text[order[low:high]], gram[order[low:high]] - number * BLOCK
+        part = place[number * BLOCK : (number + 1) * BLOCK]
+        bound = third[part[:, 0]]
+        bound *= second[part[:, 1]]
+        bound *= base[part[:, 2]]
+        step = max(1, CELLS // len(part))
         for first in range(0, len(texts), step):
             a, b = np.searchsorted(rows, [first, first + step])
             n = min(step, len(texts) - first)
@@ -116,7 +124,7 @@ def fit(labelled: DataFrame, max_languages: int = 1000, dimensions: int = DIMENS
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in chunks(batches):
+        for batch in chunks(batches, rows=TEXTS):
             languages = np.array(batch.column("lang").to_pylist(), object)
             vectors = bundles(batch.column("text"), dimensions)
             for language in set(languages):
@@ -153,7 +161,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: tuple[
     dimensions = prototypes.shape[1]
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, rows=TEXTS):
             vectors = bundles(batch.column("text"), dimensions)
             norms = np.linalg.norm(vectors, axis=1)
             known = (norms > 0) & bool(languages)
@@ -169,7 +177,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: tuple[
             )
 
     names = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("id", *carry))
-    return docs.select("id", *carry, "text").mapInArrow(nearest, f"{names}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys(["id", *carry, "text"])).mapInArrow(nearest, f"{names}, lang_pred string, score double")
 
 
 def letter_class(text: Column) -> Column:

@@ -405,7 +405,7 @@ def word_starts(codes: np.ndarray, texts: np.ndarray) -> np.ndarray:
     n = len(codes)
     if not n:
         return np.zeros(0, np.int64)
-    kind = worker_state("character_kinds", _kinds)[codes]
+    kind = worker_state("tokens", "character_kinds", _kinds)[codes]
     fresh = np.zeros(n + 1, bool)
     fresh[texts] = True
     change = np.ones(n, bool)
@@ -520,7 +520,7 @@ class Memory:
 
 
 def _memory(name: str, text: str) -> Memory:
-    return worker_state(f"tokens_{name}", lambda: Memory(parse_vocabulary(text)))
+    return worker_state("tokens", f"tokens_{name}", lambda: Memory(parse_vocabulary(text)))
 
 
 def encode_batch(memory: Memory, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -611,7 +611,7 @@ def decode(encoded: DataFrame, vocabulary) -> DataFrame:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, text = vocabulary.value
-        strings = worker_state(f"contents_{name}", lambda: Strings(parse_vocabulary(text).contents))
+        strings = worker_state("tokens", f"contents_{name}", lambda: Strings(parse_vocabulary(text).contents))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -628,8 +628,8 @@ def digests(encoded: DataFrame, vocabulary) -> DataFrame:
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, text = vocabulary.value
-        contents = worker_state(f"contents_{name}", lambda: Strings(parse_vocabulary(text).contents))
-        decimals = worker_state(f"decimals_{name}", lambda: Strings({i: b"%d," % i for i in parse_vocabulary(text).contents}))
+        contents = worker_state("tokens", f"contents_{name}", lambda: Strings(parse_vocabulary(text).contents))
+        decimals = worker_state("tokens", f"decimals_{name}", lambda: Strings({i: b"%d," % i for i in parse_vocabulary(text).contents}))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

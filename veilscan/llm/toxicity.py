@@ -31,7 +31,7 @@ def _word_table() -> np.ndarray:
 def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct words of a chunk (code points on end, where each begins) and the (text, word) pairs, once each."""
     codes, starts = code_points(texts, lower=True)
-    inside = worker_state("word_table", _word_table)[codes]
+    inside = worker_state("toxicity", "word_table", _word_table)[codes]
     edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
     begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     inner = starts[(starts > 0) & (starts < len(codes))]
@@ -184,4 +184,4 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFra
             yield pa.RecordBatch.from_arrays([*map(batch.column, ["id", *carry]), pa.array(chance)], ["id", *carry, "score"])
 
     names = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("id", *carry))
-    return docs.select("id", *carry, "text").mapInArrow(scored, f"{names}, score double")
+    return docs.select(*dict.fromkeys(["id", *carry, "text"])).mapInArrow(scored, f"{names}, score double")
