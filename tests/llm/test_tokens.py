@@ -182,3 +182,14 @@ def test_plans(histogram):
     assert placed == Counter(histogram)
     used = sum(often for often, _ in runs)
     assert used <= least_sequences(histogram) * 1.02 or histogram == {400: 1000, 300: 500, 250: 333} and used <= 943 * 1.16
+
+
+def test_packing_plan_needs_no_python_workers(spark, monkeypatch):
+    """The plan goes to Spark as columns; from a list of rows it would be converted by Python workers."""
+    given, whole = [], type(spark).createDataFrame
+    cut_up = whole(spark, [(1, 0, 5), (2, 0, 7)], "id long, piece int, length long")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: given.append(data) or whole(self, data, *a, **b))
+    placed = packing.pack(cut_up).collect()
+    assert sorted((r.id, r.length) for r in placed) == [(1, 5), (2, 7)] and {r.sequence_id for r in placed} == {0}
+    assert not any(isinstance(data, list) for data in given)
+    assert packing.pack(cut_up.where("false")).count() == 0

@@ -235,9 +235,10 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             ranked[length] += often * each
             offset += length * each
         sequence += often
-    schema = "length long, _low long, _high long, _sequence long, _each long, _offset long"
-    # Its size follows the number of different lengths, not of pieces.
-    places = F.broadcast(spark.createDataFrame(slots, schema))
+    names = ["length", "_low", "_high", "_sequence", "_each", "_offset"]
+    # Its size follows the number of different lengths, not of pieces. From a list, workers would be started to convert it.
+    columns = np.array(slots, np.int64).reshape(-1, len(names)).T
+    places = F.broadcast(spark.createDataFrame(pa.table([pa.array(c) for c in columns], names)))
     rows = numbered(cut_up, ["length"], ["id", "piece"], "_rank", salts_for(spark, sum(histogram.values())))
     inside = (rows["length"] == places["length"]) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high"))
     placed = rows.join(places, inside).drop(places["length"])
