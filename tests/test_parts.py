@@ -103,3 +103,22 @@ def test_few_rounds_for_many_leaders(spark, monkeypatch):
     values += [v[:-1] for v in values[::10]]
     found = leaders_of_rows(spark.createDataFrame([(1, v) for v in values], "k int, value string"), ["k"], chunk=16)
     assert sorted(r.value for r in found.collect()) == sorted(leaders(values))
+
+
+def test_estimates_do_not_grow_with_the_rounds(spark, monkeypatch):
+    """Five rounds of eight values: the planner's size of what is left is no product of all rounds' joins."""
+    plain, digits = similarity.settled, []
+
+    def measured(df):
+        out = plain(df)
+        digits.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        assert digits[-1] <= 1000, f"a size of {digits[-1]} binary digits after {len(digits)} steps"
+        return out
+
+    monkeypatch.setattr(similarity, "settled", measured)
+    monkeypatch.setattr(similarity, "CHUNK", 8)
+    rng = random.Random(7)
+    values = ["".join(rng.choice("абвгдежз") for _ in range(12)) for _ in range(36)]
+    values += [v[:-1] for v in values[::6]]
+    found = leaders_of_rows(spark.createDataFrame([(1, v) for v in values], "k int, value string"), ["k"], chunk=8)
+    assert sorted(r.value for r in found.collect()) == sorted(leaders(values)) and len(digits) > 20

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilscan.session import settled
+from veilscan.session import settled, unsized
 
 # Fixed value: two values are one when their ratio is above this.
 SAME_VALUE_RATIO = 0.85
@@ -260,7 +260,7 @@ def leaders_of_rows(
     largest = max(chunk, CHUNK)
     spare = F.struct(*(F.col(f"`{k}`").alias(k) for k in keys)).alias("g")
     left = values.select(spare, F.col(f"`{value}`").alias("value"))
-    left = settled(left.where(F.col("value").isNotNull()).distinct())
+    left = unsized(settled(left.where(F.col("value").isNotNull()).distinct()))
     kind = left.schema["g"].dataType.simpleString()
     # Few bytes, much work: by a number, so that these shuffles are not put together into one task.
     spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -302,7 +302,7 @@ def leaders_of_rows(
         wide = found.join(last, "g").select("g", "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         sides = (side.repartition(spread, "g", "block").groupBy("g", "block") for side in (rest, wide))
         compared = next(sides).cogroup(next(sides))
-        left = settled(compared.applyInArrow(later, f"g {kind}, value string"))
+        left = unsized(settled(compared.applyInArrow(later, f"g {kind}, value string")))
         chunk = min(8 * chunk, largest)
     out = parts[0]
     for part in parts[1:]:

@@ -56,3 +56,14 @@ def settled(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def unsized(df: DataFrame) -> DataFrame:
+    """A settled frame without the size that the planner takes it to have.
+
+    A checkpoint keeps its plan's estimate, and that of a join or a cogroup is the
+    product of both sides. In a loop over settled rows the number so gets several times
+    as many digits with each round, until it alone fills the driver's memory.
+    """
+    session, rows = df.sparkSession, df._jdf
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), session)
