@@ -116,9 +116,27 @@ def test_estimates_do_not_grow_with_the_rounds(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(similarity, "settled", measured)
-    monkeypatch.setattr(similarity, "CHUNK", 8)
+    monkeypatch.setattr(similarity, "ROUND", 8)
     rng = random.Random(7)
     values = ["".join(rng.choice("абвгдежз") for _ in range(12)) for _ in range(36)]
     values += [v[:-1] for v in values[::6]]
     found = leaders_of_rows(spark.createDataFrame([(1, v) for v in values], "k int, value string"), ["k"], chunk=8)
     assert sorted(r.value for r in found.collect()) == sorted(leaders(values)) and len(digits) > 20
+
+
+def test_few_rounds_for_many_values(spark, monkeypatch):
+    """A first chunk as large as a task compares at once does not stay the largest: 300 leaders are no 38 rounds of eight."""
+    steps, plain = [], similarity.settled
+
+    def counted(df):
+        steps.append(df)
+        assert len(steps) <= 20, "a round for each chunk"
+        return plain(df)
+
+    monkeypatch.setattr(similarity, "settled", counted)
+    monkeypatch.setattr(similarity, "CHUNK", 8)
+    rng = random.Random(13)
+    values = ["".join(rng.choice("абвгдежз") for _ in range(12)) for _ in range(300)]
+    values += [v[:-1] for v in values[::10]]
+    found = leaders_of_rows(spark.createDataFrame([(1, v) for v in values], "k int, value string"), ["k"], chunk=8)
+    assert sorted(r.value for r in found.collect()) == sorted(leaders(values))

@@ -27,6 +27,8 @@ GROUPS = T.ArrayType(STRINGS)
 SWEEP = 1 << 18
 #: Values that are compared with each other in one task.
 CHUNK = 4096
+#: Values of a group of which one task of a later round gives the leaders.
+ROUND = 8 * CHUNK
 _NONE_A, _NONE_B = np.uint32(0xFFFFFFFE), np.uint32(0xFFFFFFFF)
 
 
@@ -253,11 +255,12 @@ def leaders_of_rows(
     one, the first ``chunk`` values (the longest, then by code point) give their
     leaders; everything later is compared with those, in blocks side by side,
     and what is near none of them goes on to the next round, whose chunk is eight
-    times as large, up to ``CHUNK``. So no task holds more than a chunk of leaders
-    and a block of values, no pairs are emitted, and a small ``chunk`` does not
-    make for many rounds. Null values are left out, null keys are a group like others.
+    times as large, up to ``ROUND``. So no task holds more than a chunk of leaders
+    and a block of values, of which it compares ``CHUNK`` by 512 at a time, no pairs
+    are emitted, and a small ``chunk`` does not make for many rounds, each of which
+    is planned on the driver. Null values are left out, null keys are a group like others.
     """
-    largest = max(chunk, CHUNK)
+    largest = max(chunk, ROUND)
     spare = F.struct(*(F.col(f"`{k}`").alias(k) for k in keys)).alias("g")
     left = values.select(spare, F.col(f"`{value}`").alias("value"))
     left = unsized(settled(left.where(F.col("value").isNotNull()).distinct()))
@@ -275,7 +278,8 @@ def leaders_of_rows(
         known, mine = heads.column("value").to_pylist(), block.column("value").to_pylist()
         near = np.zeros(len(mine), bool)
         for low in range(0, len(mine), 512):
-            near[low + close_pairs(mine[low : low + 512], known, threshold)[:, 0]] = True
+            for at in range(0, len(known), CHUNK):
+                near[low + close_pairs(mine[low : low + 512], known[at : at + CHUNK], threshold)[:, 0]] = True
         return block.select(["g", "value"]).filter(pa.array(~near))
 
     def own_leaders(rows: DataFrame) -> DataFrame:
