@@ -140,3 +140,13 @@ def test_few_rounds_for_many_values(spark, monkeypatch):
     values += [v[:-1] for v in values[::10]]
     found = leaders_of_rows(spark.createDataFrame([(1, v) for v in values], "k int, value string"), ["k"], chunk=8)
     assert sorted(r.value for r in found.collect()) == sorted(leaders(values))
+
+
+def test_groups_are_dealt_out_after_a_join(spark, monkeypatch):
+    """Groups that one task settles go to as many tasks as there are shuffle partitions, however few their bytes."""
+    steps, plain = [], similarity.settled
+    monkeypatch.setattr(similarity, "settled", lambda df: steps.append(plain(df)) or steps[-1])
+    rows = [(k, f"{k}-{n:05d}" * 2) for k in range(30) for n in range(3 if k else 9)]
+    leaders_of_rows(spark.createDataFrame(rows, "k int, value string"), ["k"], chunk=4)
+    tasks = [s._jdf.rdd().getNumPartitions() for s in steps if s.columns == ["g", "value"] and s.where("g.k > 0").count()]
+    assert tasks[1] == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -283,7 +283,9 @@ def leaders_of_rows(
         return block.select(["g", "value"]).filter(pa.array(~near))
 
     def own_leaders(rows: DataFrame) -> DataFrame:
-        return rows.select("g", "value").repartition(spread, "g").groupBy("g").applyInArrow(first, f"g {kind}, value string")
+        # By "g" alone, Spark would take the shuffle of a join by "g" for this one, and put its parts together.
+        dealt = rows.select("g", "value", F.xxhash64("g").alias("own")).repartition(spread, "g", "own")
+        return dealt.groupBy("g", "own").applyInArrow(first, f"g {kind}, value string")
 
     parts = []
     while True:
